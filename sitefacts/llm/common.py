@@ -17,12 +17,24 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the cluster's shared checkpoint folder and read it from there: lineage ends and lost executors cost nothing."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in spark.checkpoint.dir; where it names none, as in tests, one of this machine."""
     context = spark.sparkContext
-    if not spark.conf.get("spark.checkpoint.dir", "") and context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints"))  # only where the cluster names no shared folder
+    named = spark.conf.get("spark.checkpoint.dir", "")
+    if not named:
+        found = context._jsc.sc().getCheckpointDir()
+        if found.isEmpty():
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints"))
+            found = context._jsc.sc().getCheckpointDir()
+        named = found.get()
+    elif context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(named)
+    return named
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and read it from there: lineage ends and lost executors cost nothing."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -42,3 +54,22 @@ class Memo(dict):
             self.clear()
         self[key] = value
         return value
+
+
+#: Rows up to which a side may be broadcast; with the rows that callers send, well under 100 MB.
+BROADCAST_ROWS = 200_000
+
+
+def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``most`` rows; else as it is, to be joined by a shuffle."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= most else df
+
+
+#: White space that separates words.
+BLANKS = "[ \\t-\\r]+"
+
+
+def words_of(text):
+    """The words of a text column; null has none."""
+    return F.filter(F.split(F.coalesce(text, F.lit("")), BLANKS), lambda w: w != "")

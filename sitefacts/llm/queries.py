@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sitefacts.llm import sentencepiece_codec, token_counts
+from sitefacts.llm import line_dedup, mixing, quality_rules, sentencepiece_codec, token_counts, toxicity, training_order, url_filter
 from sitefacts.llm.common import table
 
 
@@ -10,13 +10,37 @@ def op1_sentencepiece(spark, sf_dir):
     return sentencepiece_codec.encode(table(spark, sf_dir, "documents"))
 
 
+def op2_token_shards(spark, sf_dir):
+    return training_order.shards(table(spark, sf_dir, "documents"))
+
+
+def op4_line_dedup(spark, sf_dir):
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
+def op6_mixing(spark, sf_dir):
+    return mixing.report(table(spark, sf_dir, "documents"))
+
+
+def op7_quality_rules(spark, sf_dir):
+    return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_url_filter(spark, sf_dir):
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 def op9_token_counts(spark, sf_dir):
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark, sf_dir):
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql():
-    return {}
+    return {"op4_line_dedup": line_dedup.ORACLE, "op6_mixing": mixing.oracle(), "op7_quality_rules": quality_rules.oracle()}
