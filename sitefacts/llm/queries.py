@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sitefacts.llm import line_dedup, mixing, quality_rules, sentencepiece_codec, token_counts, toxicity, training_order, url_filter
+from sitefacts.llm import line_dedup, mixing, ngram_join, quality_rules, sentencepiece_codec, token_counts, toxicity, training_order, url_filter
 from sitefacts.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op4_line_dedup(spark, sf_dir):
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op5_ngram_join(spark, sf_dir):
+    return ngram_join.near_components(table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark, sf_dir):
     return mixing.report(table(spark, sf_dir, "documents"))
 

@@ -32,7 +32,7 @@ from sitefacts.llm.common import Memo, texts
 MAX_LABELLED = 200_000
 #: Bound on weighted features.
 MAX_FEATURES = 50_000
-SUPPORT, LEAST_WEIGHT, STRONGEST = 5, 2.0, 4
+SUPPORT, LEAST_WEIGHT, STRONGEST = 5, 3.0, 4
 PREDICT_AT = 0.3
 
 #: Characters and the letters they imitate.
