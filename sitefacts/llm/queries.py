@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sitefacts.llm import line_dedup, mixing, ngram_join, quality_rules, sentencepiece_codec, token_counts, toxicity, training_order, url_filter
+from sitefacts.llm import cover_tree, line_dedup, mixing, ngram_join, quality_rules, sentencepiece_codec, token_counts, toxicity, training_order, url_filter
 from sitefacts.llm.common import table
 
 
@@ -14,6 +14,11 @@ def op2_token_shards(spark, sf_dir):
     return training_order.shards(table(spark, sf_dir, "documents"))
 
 
+def op3_exact_top_k(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return cover_tree.top_k(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 def op4_line_dedup(spark, sf_dir):
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
@@ -47,4 +52,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op4_line_dedup": line_dedup.ORACLE, "op6_mixing": mixing.oracle(), "op7_quality_rules": quality_rules.oracle()}
+    return {"op3_exact_top_k": cover_tree.ORACLE, "op4_line_dedup": line_dedup.ORACLE, "op6_mixing": mixing.oracle(), "op7_quality_rules": quality_rules.oracle()}
