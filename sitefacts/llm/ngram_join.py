@@ -38,6 +38,8 @@ WIDTH = 5
 PART, WHOLE = 3, 4
 #: Shingles of a mapper's batch, of a column block and of a row block; classes of a row block.
 BATCH, COLUMNS, ROW_SHINGLES, ROW_CLASSES = 1_000_000, 2_000_000, 2_000_000, 512
+#: Documents whose counts are summed together.
+BUCKET = 20_000
 NULL_ID = -(2**63)
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -83,8 +85,11 @@ def _rows(docs: DataFrame) -> DataFrame:
     return texts(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(NULL_ID)))
 
 
-def shared_counts(docs: DataFrame, blocks: int) -> DataFrame:
-    """``doc_id, shared``: how many shingles of a row occur in other rows too; at times one too many, never too few."""
+def shared_counts(docs: DataFrame, blocks: int, buckets: int) -> DataFrame:
+    """``doc_id, shared``: how many shingles of a row occur in other rows too; at times one too many, never too few.
+
+    Each block packs its counts by bucket of rows, so what leaves it is a row for each bucket, not one for each document.
+    """
 
     def deal(batches):
         held: list[tuple[int, np.ndarray]] = []
@@ -163,10 +168,22 @@ def shared_counts(docs: DataFrame, blocks: int) -> DataFrame:
             out_n.append(n[n > 0])
         ids = np.concatenate(out_ids) if out_ids else np.empty(0, "int64")
         n = np.concatenate(out_n).astype("int64") if out_n else np.empty(0, "int64")
-        return pa.table({"doc_id": ids, "shared": n})
+        bucket = ((ids.view("uint64") * _MIX) >> np.uint64(32)) % np.uint64(buckets)
+        place = np.argsort(bucket, kind="stable")
+        found, starts = np.unique(bucket[place], return_index=True)
+        spans = list(zip(starts, [*starts[1:], len(place)]))
+        ids, n = ids[place], n[place].astype("uint32")
+        return pa.table({"bucket": found.astype("int32"), "ids": pa.array([ids[a:b].tobytes() for a, b in spans], pa.binary()), "counts": pa.array([n[a:b].tobytes() for a, b in spans], pa.binary())})
+
+    def total(table: pa.Table) -> pa.Table:
+        ids = np.concatenate([np.frombuffer(x, "int64") for x in table.column("ids").to_pylist()])
+        n = np.concatenate([np.frombuffer(x, "uint32") for x in table.column("counts").to_pylist()])
+        found, who = np.unique(ids, return_inverse=True)
+        return pa.table({"doc_id": found, "shared": np.bincount(who, n, len(found)).astype("int64")})
 
     dealt = _rows(docs).mapInArrow(deal, "block int, ids binary, sizes binary, keys binary, common binary")
-    return dealt.groupBy("block").applyInArrow(count, "doc_id long, shared long").groupBy("doc_id").agg(F.sum("shared").alias("shared"))
+    packed = dealt.groupBy("block").applyInArrow(count, "bucket int, ids binary, counts binary")
+    return packed.groupBy("bucket").applyInArrow(total, "doc_id long, shared long")
 
 
 def class_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -322,9 +339,9 @@ def near_components(docs: DataFrame, row_classes: int = ROW_CLASSES, row_shingle
     """``doc_id, n_shingles, component_id`` of every row."""
     spark = docs.sparkSession
     rows = cut(document_sets(docs))
-    total = rows.agg(F.sum("n").alias("n")).first()["n"] or 0
-    blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // COLUMNS))
-    shared = shared_counts(docs, int(blocks))
+    total = rows.agg(F.sum("n").alias("n"), F.count("*").alias("rows")).first()
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shared = shared_counts(docs, max(parts, -(-(total["n"] or 0) // COLUMNS)), max(parts, -(-total["rows"] // BUCKET)))
     wanted = rows.where("n > 1").join(shared, "doc_id").where(F.col("shared") >= F.ceil(F.col("n") * PART / WHOLE))
     sets = cut(class_sets(docs, wanted.groupBy("node").agg(F.min("doc_id").alias("doc_id"))))
     labels = components(class_links(sets, row_classes, row_shingles))
