@@ -131,9 +131,9 @@ class Channel:
         word = token.strip(EDGE).lower()
         if not word:
             return []
-        if word.isalpha():
-            return [word, *self.decode(word).split()] if RUN.search(word) else [word]
         low = token.lower().rstrip(".,;:?\"')]}>»”’…").lstrip("\"'([{<«“‘")
+        if word.isalpha() and low[:1] not in LOOKALIKES:
+            return [word, *self.decode(word).split()] if RUN.search(word) else [word]
         letters = sum(map(str.isalpha, low))
         if letters < 2 or len(low) > 64:
             return [word]
