@@ -34,6 +34,8 @@ MAX_LABELLED = 200_000
 MAX_FEATURES = 50_000
 SUPPORT, LEAST_WEIGHT, STRONGEST = 5, 3.0, 4
 PREDICT_AT = 0.3
+#: Tokens a worker remembers; it counts at most about twice as many features before it hands them on.
+REMEMBERED = 80_000
 
 #: Characters and the letters they imitate.
 LOOKALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "(": "c", "¡": "i"}
@@ -174,7 +176,7 @@ class Scorer:
 
     def __init__(self, channel: Channel, weights: dict[str, float]):
         self.channel, self.weights = channel, weights
-        self.memo = Memo(lambda token: max((self.weight(w) for w in channel.words(token)), default=0.0), 300_000)
+        self.memo = Memo(lambda token: max((self.weight(w) for w in channel.words(token)), default=0.0), REMEMBERED)
 
     def weight(self, word: str) -> float:
         return max((self.weights.get(f, 0.0) for f in features(word)), default=0.0)
@@ -202,13 +204,13 @@ def _feature_documents(rows: DataFrame, model: np.ndarray, only: frozenset[str]
 
     def run(batches):
         channel = Channel(model)
-        memo = Memo(lambda token: tuple(channel.words(token)))
+        memo = Memo(lambda token: tuple(channel.words(token)), REMEMBERED)
         n: Counter[str] = Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 found = {f for w in document_words(channel, memo, text) for f in features(w)}
                 n.update(found if only is None else found & only)
-            if len(n) > 400_000:
+            if len(n) > 2 * REMEMBERED:
                 yield pa.RecordBatch.from_pydict({"feature": list(n), "n": list(n.values())})
                 n.clear()
         yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["feature", "n"])
