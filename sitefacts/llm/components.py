@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from sitefacts.llm.common import cut
 
 
+#: Edges of a partition: small tables take few partitions, whatever the session's shuffles have.
+PART = 200_000
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, label`` for every node of the edges ``a, b`` (long): the smallest node it is connected to.
 
@@ -17,13 +21,15 @@ def components(edges: DataFrame) -> DataFrame:
     now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = _mark(now)
     while True:
+        parts = max(1, -(-mark[0] // PART))
+        now = now.coalesce(parts)
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")).coalesce(parts)
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.unionByName(least.where("a <> m").select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = large.unionByName(least.where("a <> m").select("a", F.col("m").alias("b"))).where("a <> b").coalesce(parts).distinct().coalesce(parts)
+        down = large.groupBy("a").agg(F.min("b").alias("m")).coalesce(parts)
         small = large.join(down, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        after = cut(small.unionByName(down.select("a", F.col("m").alias("b"))).distinct())
+        after = cut(small.unionByName(down.select("a", F.col("m").alias("b"))).coalesce(parts).distinct().coalesce(parts))
         new = _mark(after)
         now = after
         if new == mark:
