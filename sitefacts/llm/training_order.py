@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from array import array
+from functools import lru_cache
 from itertools import accumulate
 
 import numpy as np
@@ -30,6 +31,10 @@ from sitefacts.llm.pieces import model_path, vocabulary
 from sitefacts.llm.sentencepiece_codec import MODEL, Codec
 
 SEQUENCE, SHARD = 1024, 512
+#: Shards that one task sorts and writes, at most about twice as many: a quarter of a GB each of 1 MB.
+TASK_SHARDS = 256
+#: Words of a generation that a worker remembers.
+REMEMBERED = 600_000
 KEY = "epoch-1"
 PAD = 0
 ROUNDS = 6
@@ -42,19 +47,25 @@ class LibraryCodec(Codec):
         from sentencepiece import SentencePieceProcessor
 
         self.library = SentencePieceProcessor(model_file=model_file)
-        super().__init__(vocabulary(model_file))
+        super().__init__(vocabulary(model_file), REMEMBERED)
 
     def _ids(self, stretch: str) -> bytes:
         # A line end before the stretch keeps it whole and takes the mark that the library puts first.
         return array(self.code, self.library.encode("\n" + stretch)[2:]).tobytes()
 
 
+@lru_cache(maxsize=1)
+def library_codec(model_file: str) -> LibraryCodec:
+    """One for each Python worker, so that its later tasks find the words of the earlier ones."""
+    return LibraryCodec(model_file)
+
+
 def token_table(docs: DataFrame, model: str = MODEL, sequence: int = SEQUENCE) -> DataFrame:
     """``task, number, doc_id, chunk, n_tokens, ids``: ids as packed little-endian integers, unpadded."""
 
     def run(batches):
         file = model_path(model)
-        codec = LibraryCodec(file)
+        codec = library_codec(file)
         width = codec.vocab.dtype.itemsize * sequence
         task, number = TaskContext.get().partitionId(), 0
         for batch in batches:
@@ -115,7 +126,7 @@ def in_training_order(docs: DataFrame, model: str = MODEL, sequence: int = SEQUE
     def slot_of(task: pd.Series, number: pd.Series) -> pd.Series:
         return pd.Series(feistel((task.map(first) + number).to_numpy("int64"), size, key))
 
-    parts = max(1, min(shards, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    parts = max(1, min(shards, max(int(spark.conf.get("spark.sql.shuffle.partitions")), shards // TASK_SHARDS)))
     out = tokens.select(slot_of("task", "number").alias("slot"), "doc_id", "chunk", "n_tokens", "ids").withColumn("shard", F.floor(F.col("slot") / shard).cast("long"))
     out = out.repartitionById(parts, F.floor(F.col("shard") * parts / max(1, shards)).cast("int"))
     return out.sortWithinPartitions("slot").select("slot", "shard", "doc_id", "chunk", "n_tokens", "ids")
