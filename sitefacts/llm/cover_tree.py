@@ -276,10 +276,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     indexed = cut(trees(in_cells(classes, centres), DATA_BLOCK))
     blocks = cut(trees(in_cells(points.select("v", F.array("name").alias("ids")), centres), QUERY_BLOCK))
 
-    # Cell summaries: a ball around the cell's net centre that holds every block's ball.
-    found = indexed.select("cell", "centre", "radius").groupBy("cell").agg(F.count("*").alias("blocks"), F.max("radius").alias("widest"), F.first("centre").alias("centre"))
-    spread = indexed.join(found.select("cell", F.col("centre").alias("c")), "cell").groupBy("cell").agg(F.max(F.sqrt(F.aggregate(F.zip_with("centre", "c", lambda x, y: _gap(x, y)), F.lit(0.0), lambda a, x: a + x)) + F.col("radius")).alias("reach"))
-    cells = found.join(spread, "cell").select("cell", "blocks", "centre", "reach").orderBy("cell").collect()
+    cells = cell_summaries(indexed).orderBy("cell").collect()
 
     as_data = indexed.select(F.col("cell").alias("d_cell"), F.col("block").alias("d_block"), *(F.col(c).alias(f"d_{c}") for c in _TREE_COLUMNS))
     as_query = blocks.select(F.col("cell").alias("q_cell"), F.col("block").alias("q_block"), *(F.col(c).alias(f"q_{c}") for c in _TREE_COLUMNS))
@@ -296,6 +293,18 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     return out.select("query_id", (F.col("at") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
 
 
+def cell_summaries(indexed: DataFrame) -> DataFrame:
+    """``cell, blocks, centre, reach``: of each cell its number of blocks and a ball that holds the ball of every block.
+
+    The centre is that of the cell's lowest block, whatever the order of rows; it is written once, and the reach is taken
+    from what was written.
+    """
+    found = cut(indexed.groupBy("cell").agg((F.max("block") + 1).alias("blocks"), F.min_by("centre", "block").alias("centre")))
+    gaps = F.sqrt(F.aggregate(F.zip_with("centre", "c", _gap), F.lit(0.0), lambda a, x: a + x))
+    reach = indexed.select("cell", "centre", "radius").join(found.select("cell", F.col("centre").alias("c")), "cell").groupBy("cell").agg(F.max(gaps + F.col("radius")).alias("reach"))
+    return found.join(reach, "cell").select("cell", "blocks", "centre", "reach")
+
+
 def _gap(x, y):
     gap = F.coalesce(x, F.lit(0.0)) - F.coalesce(y, F.lit(0.0))
     return gap * gap

@@ -49,6 +49,21 @@ def test_few_rows_and_none(spark):
     assert run(spark, [(0, [1.0]), (50, [1.0]), (3, [-1.0])]) == [(0, 1, 50, 65536), (0, 2, 3, -65536), (50, 1, 0, 65536), (50, 2, 3, -65536)]
 
 
+def test_cell_ball_holds_every_block_in_any_order_of_rows(spark):
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(6)
+    rows = [(c, b, [rnd.gauss(0, 300) for _ in range(5 if b else 3)], rnd.random() * 9) for c in range(2) for b in range(12) if b != 4]
+    df = spark.createDataFrame(rows, "cell int, block int, centre array<double>, radius double")
+    one, other = (sorted(tuple(r) for r in cover_tree.cell_summaries(df.coalesce(1).sortWithinPartitions(o)).collect()) for o in ("block", F.desc("block")))
+    assert one == other and len(one) == 2
+    for cell, blocks, centre, reach in one:
+        assert blocks == 12
+        for _, _, other_centre, radius in (r for r in rows if r[0] == cell):
+            wide = [c + [0.0] * (5 - len(c)) for c in (centre, other_centre)]
+            assert math.dist(*wide) + radius <= reach + 1e-9
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_tree_covers_its_points_and_prunes(seed, monkeypatch):
     rnd = random.Random(seed)
