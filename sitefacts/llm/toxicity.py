@@ -1,10 +1,11 @@
 """Toxicity scores over deobfuscated text.
 
-Obfuscation is undone as a noisy channel. A token with digits or signs among its letters, with marks or spaces between
-single letters, or with long letter runs spans a lattice: each observed character may stand for itself, for the letter it
-imitates, for a separator to drop, or repeat the letter before it. Viterbi picks the path of the best sum of channel cost
-and character trigram likelihood; the trigrams are counted over every document. Tokens without such signs have one path
-only, themselves.
+Obfuscation is undone as a noisy channel. A token with digits or signs among or in place of its letters, with marks between
+them, or with a doubled letter spans a lattice, and so do three or more single characters with blanks of any kind between
+them: each observed character may stand for itself, for the letter it imitates, for a separator to drop, or repeat the
+letter before it. Viterbi picks the path of the best sum of channel cost and character trigram likelihood; the trigrams are
+counted over every document. Tokens of any length are decoded, letters on which all paths agree being given out on the way.
+Tokens without such signs have one path only, themselves.
 
 The score is a logistic function of summed word evidence. Words and word beginnings are weighted by their log odds in
 labelled training documents. Learned: rows whose crc32(doc_id) mod 4 is not 2, at most ``MAX_LABELLED`` of them, in hash
@@ -44,8 +45,10 @@ SEPARATORS = set(" .-_*'~,·/\\")
 IMITATE, REPEAT, DROP, BREAK = -1.5, -0.5, -0.3, -2.5
 
 EDGE = " \t\r\n.,;:!?\"'()[]{}<>«»“”‘’…*#$%&|"
-SPACED = re.compile(r"(?<!\S)\S(?: \S){3,}(?!\S)")
-RUN = re.compile(r"(.)\1\1")
+SPACED = re.compile(r"(?<!\S)\S(?:\s+\S){2,}(?!\S)")
+RUN = re.compile(r"(.)\1")
+#: Characters between two looks for letters on which all paths agree.
+COMMIT = 256
 LETTERS = 28  # a boundary, a to z, and any other letter
 
 
@@ -108,6 +111,7 @@ class Channel:
         """The best path through the lattice of ``text`` (lower case); words of the result are split by spaces."""
         model = self.model
         states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+        out: list[str] = []
         for at in range(len(text) + 1):
             steps = self.options(text, at) if at < len(text) else [(" ", 0.0)]
             after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
@@ -121,37 +125,55 @@ class Channel:
                     if key not in after or after[key][0] < total:
                         after[key] = (total, way)
             states = after
-        path = max(states.values(), key=lambda x: x[0])[1]
+            if at % COMMIT == COMMIT - 1:
+                states = self._committed(states, out)
+        return "".join(out + self._letters(max(states.values(), key=lambda x: x[0])[1]))
+
+    @staticmethod
+    def _letters(path: tuple | None) -> list[str]:
         out = []
         while path:
             path, letter = path
             out.append(letter)
-        return "".join(reversed(out))
+        return out[::-1]
+
+    def _committed(self, states: dict, out: list[str]) -> dict:
+        """Moves the letters with which all paths begin to ``out``; the states keep what follows."""
+        found = [self._letters(path) for _, path in states.values()]
+        low, high = min(found), max(found)
+        same = next((k for k, (a, b) in enumerate(zip(low, high)) if a != b), min(len(low), len(high)))
+        if not same:
+            return states
+        out += low[:same]
+        kept = {}
+        for (key, (score, _)), letters in zip(states.items(), found):
+            path = None
+            for letter in letters[same:]:
+                path = (path, letter)
+            kept[key] = score, path
+        return kept
 
     def words(self, token: str) -> list[str]:
         """The word of a token, and its restored words if it looks obfuscated."""
         word = token.strip(EDGE).lower()
-        if not word:
-            return []
         low = token.lower().rstrip(".,;:?\"')]}>»”’…").lstrip("\"'([{<«“‘")
         if word.isalpha() and low[:1] not in LOOKALIKES:
             return [word, *self.decode(word).split()] if RUN.search(word) else [word]
-        letters = sum(map(str.isalpha, low))
-        if letters < 2 or len(low) > 64:
-            return [word]
-        return [word, *self.decode(low).split()]
+        if not any(c.isalpha() or c in LOOKALIKES for c in low):
+            return [word] if word else []
+        return [word or low, *self.decode(low).split()]
 
     def spaced(self, text: str) -> list[str]:
         """Words spelt as single characters with spaces between them, joined and decoded."""
         out = []
         for run in SPACED.findall(text):
-            run = run.lower()
-            out += [run.replace(" ", ""), *self.decode(run).split()]
+            parts = run.lower().split()
+            out += ["".join(parts), *self.decode(" ".join(parts)).split()]
         return out
 
     def restore(self, text: str) -> str:
         """The whole text with obfuscated tokens and spaced words replaced by what they stand for."""
-        text = SPACED.sub(lambda m: self.decode(m[0].lower()).strip(), text)
+        text = SPACED.sub(lambda m: self.decode(" ".join(m[0].lower().split())).strip(), text)
         return re.sub(r"\S+", lambda m: self._token(m[0]), text)
 
     def _token(self, token: str) -> str:
@@ -204,7 +226,7 @@ def _feature_documents(rows: DataFrame, model: np.ndarray, only: frozenset[str]
 
     def run(batches):
         channel = Channel(model)
-        memo = Memo(lambda token: tuple(channel.words(token)), REMEMBERED)
+        memo = Memo(lambda token: tuple(dict.fromkeys(channel.words(token))), REMEMBERED)
         n: Counter[str] = Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():

@@ -170,6 +170,46 @@ def test_obfuscated_words_are_restored(spark):
     assert channel.words("garden,") == ["garden"] and "s t u p i d" not in channel.restore("so s t u p i d here")
 
 
+@pytest.fixture(scope="module")
+def channel(spark):
+    rnd = random.Random(3)
+    words = ["stupid", "idiot", "ass", "people", "garden", "window", "silence", "mountain"]
+    text = " ".join(rnd.choice(words) for _ in range(4000))
+    return toxicity.Channel(toxicity.language_model(docs(spark, [(1, text, "en", "s", 0)])))
+
+
+@pytest.mark.parametrize("token", ["garden,window/people," * 4 + "st.u.pid", ".".join("stupid people garden window silence mountain".replace(" ", "-")), "st_up_id_" * 300])
+def test_long_tokens_are_decoded(channel, token):
+    assert len(token) > 64 and "stupid" in channel.words(token)
+
+
+def test_letters_given_out_on_the_way_are_those_of_the_whole_path(channel, monkeypatch):
+    rnd = random.Random(5)
+    for n in (3, 40, 700, 3000):
+        token = "".join(rnd.choice("stupid10.-$|") for _ in range(n))
+        whole = []
+        for every in (10**9, 1, 256):
+            monkeypatch.setattr(toxicity, "COMMIT", every)
+            whole.append(channel.decode(token))
+        assert len(set(whole)) == 1
+
+
+@pytest.mark.parametrize("token, word", [("1d107", "idiot"), ("4$$", "ass")])
+def test_words_of_few_or_no_letters_are_decoded(channel, token, word):
+    found = channel.words(token)
+    assert word in found[1:]
+
+
+@pytest.mark.parametrize("text, word", [("an a s s here", "ass"), ("so s  t  u  p  i  d here", "stupid"), ("s\tt\tu\tp\ti\td", "stupid"), ("i\nd\ni\r\no\nt\n", "idiot")])
+def test_words_over_any_blanks_are_decoded(channel, text, word):
+    assert word in channel.spaced(text) and word in channel.restore(text)
+
+
+@pytest.mark.parametrize("token, word", [("iiddiioott", "idiot"), ("stuupid", "stupid"), ("sttuuppiidd", "stupid")])
+def test_doubled_letters_are_decoded(channel, token, word):
+    assert word in channel.words(token)
+
+
 def test_toxic_held_out_documents_are_found(spark):
     d = "/root/testdata/sf0.1"
     found = queries.queries()["op10_toxicity"](spark, d).where("held_out").join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").toPandas()
