@@ -5,6 +5,9 @@ third of all rows shuffles one sketch a task). A line clearly above ``min_sites`
 not; one within the sketch's error of the threshold gets an exact distinct count. Boilerplate goes from every document
 but the first that holds it (smallest doc_id, then position), so no wording is lost from the corpus as a whole.
 
+Short lines meet by chance or custom; a line of ``LONG_WORDS`` words or more does not, so ``remove_boilerplate`` takes it
+for boilerplate from ``long_sites`` sites on. ``report`` has one threshold for all lines, that of its SQL.
+
 A line is what stands between line feeds; lines are compared without blanks at their ends, and blank lines are never
 boilerplate. Null text has no line and stays null. A null site counts as one site of its own, a null doc_id as smaller
 than all others. Repeated rows (equal id and text) stand for one place and keep or lose the same lines. Extra columns stay;
@@ -16,9 +19,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitefacts.llm.common import cut
+from sitefacts.llm.common import cut, words_of
 
 MIN_SITES = 10
+#: Lines of so many words count as long, and are boilerplate on so many sites.
+LONG_WORDS, LONG_SITES = 50, 3
 LG_K = 12
 
 _ID, _HASH, _DROP = "__line_doc", "__line_text", "__line_drop"
@@ -29,27 +34,28 @@ def _with_keys(docs: DataFrame) -> DataFrame:
 
 
 def site_lines(docs: DataFrame, site: str = "source") -> DataFrame:
-    """One row for each line with content: its place, its key and its site."""
+    """One row for each line with content: its place, its key, its site and whether it is ``long``."""
     keyed = _with_keys(docs).select(_ID, _HASH, F.coalesce(F.col(site).cast("string"), F.lit("")).alias("site"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     line = F.btrim(F.col("line"), F.lit(" \t\r"))
-    return keyed.where(line != "").select(_ID, _HASH, "site", "pos", F.xxhash64(line).alias("key"))
+    long = F.when(F.length(line) < 2 * LONG_WORDS - 1, False).otherwise(F.size(words_of(line)) >= LONG_WORDS)
+    return keyed.where(line != "").select(_ID, _HASH, "site", "pos", F.xxhash64(line).alias("key"), long.alias("long"))
 
 
-def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -> DataFrame:
-    """``key`` of every line on at least ``min_sites`` sites, with its first place."""
+def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K, long_sites: int = LONG_SITES) -> DataFrame:
+    """``key`` of every line on at least ``min_sites`` sites, for long lines ``long_sites``, with its first place."""
     error = 3 * 1.04 / 2 ** (lg_k / 2)
-    low, high = min_sites * (1 - error) - 1, min_sites * (1 + error) + 1
-    spread = lines.groupBy("key").agg(F.hll_sketch_agg("site", lg_k).alias("sketch"), F.min(F.struct(_ID, _HASH, "pos")).alias("first"))
-    spread = cut(spread.select("key", "first", F.hll_sketch_estimate("sketch").alias("sites")).where(F.col("sites") >= low))
-    near = spread.where(F.col("sites") <= high).select("key")
+    least = F.when(F.col("long"), long_sites).otherwise(min_sites)
+    spread = lines.groupBy("key").agg(F.hll_sketch_agg("site", lg_k).alias("sketch"), F.min(F.struct(_ID, _HASH, "pos")).alias("first"), F.max("long").alias("long"))
+    spread = cut(spread.select("key", "first", "long", F.hll_sketch_estimate("sketch").alias("sites")).where(F.col("sites") >= least * (1 - error) - 1))
+    near = spread.where(F.col("sites") <= least * (1 + error) + 1).select("key")
     exact = lines.join(near, "key", "left_semi").groupBy("key", "site").count().groupBy("key").agg(F.count("*").alias("exact"))
-    return spread.join(exact, "key", "left").where(F.coalesce("exact", "sites") >= min_sites).select("key", "first")
+    return spread.join(exact, "key", "left").where(F.coalesce("exact", "sites") >= least).select("key", "first")
 
 
-def remove_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, lg_k: int = LG_K) -> DataFrame:
+def remove_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, lg_k: int = LG_K, long_sites: int = LONG_SITES) -> DataFrame:
     """``docs`` with boilerplate lines taken out of ``text``, and ``n_lines`` (lines with content) and ``n_removed``."""
     lines = cut(site_lines(docs, site))
-    drops = lines.join(boilerplate(lines, min_sites, lg_k), "key").where(F.struct(_ID, _HASH, "pos") != F.col("first"))
+    drops = lines.join(boilerplate(lines, min_sites, lg_k, long_sites), "key").where(F.struct(_ID, _HASH, "pos") != F.col("first"))
     drops = drops.groupBy(_ID, _HASH).agg(F.collect_set("pos").alias(_DROP))
     parts = F.split("text", "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(_DROP))
@@ -66,8 +72,8 @@ def remove_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = M
 
 
 def report(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
-    """``doc_id, n_lines, n_removed, kept_chars, text_md5`` of the cleaned texts."""
-    return remove_boilerplate(docs, site, min_sites).select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("kept_chars"), F.md5("text").alias("text_md5"))
+    """``doc_id, n_lines, n_removed, kept_chars, text_md5`` of the cleaned texts; one threshold for lines of any length."""
+    return remove_boilerplate(docs, site, min_sites, long_sites=min_sites).select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("kept_chars"), F.md5("text").alias("text_md5"))
 
 
 ORACLE = f"""

@@ -84,6 +84,17 @@ def test_boilerplate_goes_from_all_but_its_first_place(spark):
     assert line_dedup.report(docs(spark, [])).count() == 0
 
 
+def test_long_passages_go_from_few_sites_on(spark):
+    passage, brief, pair = " ".join(f"w{k}" for k in range(50)), " ".join(f"w{k}" for k in range(49)), " ".join(f"v{k}" for k in range(60))
+    rows = [(i, f"own {i}\n {passage}\n{brief}" + (f"\n{pair}" if i < 3 else ""), "en", f"s{max(i, 1)}", 0) for i in range(4)]
+    text = {r.doc_id: r.text for r in line_dedup.remove_boilerplate(docs(spark, rows)).collect()}
+    assert text[0] == rows[0][1] and text[3] == f"own 3\n{brief}"
+    assert text[2] == f"own 2\n{brief}\n{pair}"  # on two sites only
+    stage = corpus_pipeline.drop_boilerplate(spark, docs(spark, rows), SF).orderBy("doc_id").collect()
+    assert [r.text for r in stage] == [text[i] for i in range(4)]
+    assert [r.n_removed for r in line_dedup.report(docs(spark, rows)).collect()] == [0] * 4
+
+
 def test_mix_meets_targets_and_keeps_all_columns(spark):
     rnd = random.Random(1)
     rows = [(i, " ".join("w" for _ in range(rnd.randint(1, 60))), rnd.choice(["en", "de"]), "big" if i % 3 else "small", 0) for i in range(3000)]
