@@ -18,12 +18,14 @@ def texts(docs: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; where it names none, as in tests, one of this machine."""
+    """The folder the cluster names in spark.checkpoint.dir; where a local session names none, one of this machine."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", "")
     if not named:
         found = context._jsc.sc().getCheckpointDir()
         if found.isEmpty():
+            if not (context.master == "local" or context.master.startswith("local[")):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints"))
             found = context._jsc.sc().getCheckpointDir()
         named = found.get()
@@ -38,14 +40,25 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder of the shared folder that is no longer read."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 class Memo(dict):
-    """A dictionary that makes its missing values and holds at most two generations of ``cap`` entries."""
+    """A dictionary that makes its missing values and holds at most two generations of ``cap`` entries.
+
+    Keys longer than ``longest`` are not held, so its bytes are bounded too.
+    """
 
-    def __init__(self, make, cap: int = 250_000):
+    def __init__(self, make, cap: int = 250_000, longest: int = 64):
         super().__init__()
-        self.make, self.cap, self.old = make, cap, {}
+        self.make, self.cap, self.longest, self.old = make, cap, longest, {}
 
     def __missing__(self, key):
+        if len(key) > self.longest:
+            return self.make(key)
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
@@ -73,3 +86,8 @@ BLANKS = "[ \\t-\\r]+"
 def words_of(text):
     """The words of a text column; null has none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), BLANKS), lambda w: w != "")
+
+
+def bind(value, then):
+    """``then`` of a column that is computed once: a lambda over a one-element array binds it."""
+    return F.get(F.transform(F.array(value), then), 0)

@@ -4,15 +4,17 @@ Obfuscation is undone as a noisy channel. A token with digits or signs among or
 them, or with a doubled letter spans a lattice, and so do three or more single characters with blanks of any kind between
 them: each observed character may stand for itself, for the letter it imitates, for a separator to drop, or repeat the
 letter before it. Viterbi picks the path of the best sum of channel cost and character trigram likelihood; the trigrams are
-counted over every document. Tokens of any length are decoded, letters on which all paths agree being given out on the way.
-Tokens without such signs have one path only, themselves.
+counted over every document and every letter that occurs, so the model grows with the corpus (letters beyond the Latin
+ones count by their block of 128 code points, which bounds the alphabet). Tokens of any length are decoded, letters on
+which all paths agree being given out on the way. Tokens without such signs have one path only, themselves.
 
-The score is a logistic function of summed word evidence. Words and word beginnings are weighted by their log odds in
-labelled training documents. Learned: rows whose crc32(doc_id) mod 4 is not 2, at most ``MAX_LABELLED`` of them, in hash
-order. Labels, language, source and id are no inputs of a score.
+The score is a logistic function of summed word evidence: the strongest weights among a text's distinct words, a word and
+what it is restored to being one. Words and word beginnings are weighted by their log odds in labelled training documents,
+which are restored once and written. Learned: rows whose crc32(doc_id) mod 4 is not 2, at most ``MAX_LABELLED`` of them, in
+hash order. Labels, language, source and id are no inputs of a score.
 
 Null and empty texts carry no evidence and get the score of the intercept. Without labels every score is the prior, 0.
-Repeated rows get equal scores; other columns stay behind.
+Repeated rows get equal scores; other columns, whatever their names, stay behind.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
+from functools import lru_cache
 from heapq import nlargest
 
 import numpy as np
@@ -27,107 +31,165 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitefacts.llm.common import Memo, texts
+from sitefacts.llm.common import Memo, cut, texts
 
 #: Bound on labelled training rows.
 MAX_LABELLED = 200_000
-#: Bound on weighted features.
-MAX_FEATURES = 50_000
 SUPPORT, LEAST_WEIGHT, STRONGEST = 5, 3.0, 4
 PREDICT_AT = 0.3
-#: Tokens a worker remembers; it counts at most about twice as many features before it hands them on.
-REMEMBERED = 80_000
+#: Decoded tokens a task remembers, and features it counts before it hands them on.
+REMEMBERED, COUNTED = 80_000, 160_000
 
 #: Characters and the letters they imitate.
 LOOKALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "(": "c", "¡": "i"}
 SEPARATORS = set(" .-_*'~,·/\\")
-#: Log costs of the channel.
-IMITATE, REPEAT, DROP, BREAK = -1.5, -0.5, -0.3, -2.5
+#: Log costs of the channel; the last two are added where a character that imitates a letter, or one outside words, goes.
+IMITATE, REPEAT, DROP, BREAK, WASTE, OUTSIDE = -1.5, -0.5, -0.3, -2.5, -2.0, -2.0
 
 EDGE = " \t\r\n.,;:!?\"'()[]{}<>«»“”‘’…*#$%&|"
+OPENING, CLOSING = "\"'([{<«“‘", ".,;:?\"')]}>»”’…"
 SPACED = re.compile(r"(?<!\S)\S(?:\s+\S){2,}(?!\S)")
 RUN = re.compile(r"(.)\1")
 #: Characters between two looks for letters on which all paths agree.
 COMMIT = 256
-LETTERS = 28  # a boundary, a to z, and any other letter
+#: Bits of a symbol in a trigram's code, and where the symbols of blocks of letters begin.
+BITS, BLOCKS = 13, 0x1000
+PLAIN = 28  # a boundary, a to z, and room for any other letter
 
 
 def symbol(c: str) -> int:
-    return ord(c) - 96 if "a" <= c <= "z" else 27 if c.isalpha() else 0
+    """0 for a boundary, 1 to 26 for a to z, a number of its own for other Latin letters, one for each block of the rest."""
+    if "a" <= c <= "z":
+        return ord(c) - 96
+    return 0 if not c.isalpha() else ord(c) if c < "\u0250" else BLOCKS + (ord(c) >> 7)
 
 
-SYMBOLS = np.array([symbol(chr(k).lower()[0]) for k in range(0x250)], "int32")
+@lru_cache(maxsize=1)
+def symbols() -> np.ndarray:
+    """``symbol`` of every code point that may be a letter; the last entry is for those beyond."""
+    return np.array([symbol(chr(k)) for k in range(0x32400)] + [0], "int32")
 
 
 def trigram_counts(docs: DataFrame) -> DataFrame:
-    """``code, n``: counts of letter trigrams over all texts; a word's ends count as boundaries. At most 28³ rows."""
+    """``code, n``: counts of letter trigrams over all texts in lower case.
+
+    A word's ends count as boundaries, and its first letter as standing after two of them, whatever the word before.
+    """
 
     def run(batches):
-        total = np.zeros(LETTERS**3, "int64")
+        table = symbols()
+        dense, rest = np.zeros(PLAIN**3, "int64"), Counter()
         for batch in batches:
             for text in batch.column(1).to_pylist():
                 if text:
-                    points = np.frombuffer(f"  {text}  ".encode("utf-32-le", "replace"), "<u4")
-                    ids = SYMBOLS[np.where(points < 0x250, points, 0)]
-                    total += np.bincount((ids[:-2] * LETTERS + ids[1:-1]) * LETTERS + ids[2:], minlength=LETTERS**3)
-        found = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(total[found], pa.int64())], ["code", "n"])
+                    points = np.frombuffer(f"  {text.lower()}  ".encode("utf-32-le", "replace"), "<u4")
+                    ids = table[np.minimum(points, len(table) - 1)]
+                    plain = np.minimum(ids, PLAIN - 1)
+                    begins = plain[1:-1] == 0
+                    codes = np.where(begins, 0, plain[:-2] * PLAIN**2) + plain[1:-1] * PLAIN + plain[2:]
+                    dense += np.bincount(codes, minlength=PLAIN**3)
+                    other = plain == PLAIN - 1
+                    if other.any():
+                        at = np.flatnonzero((other[:-2] & ~begins) | other[1:-1] | other[2:])
+                        wide = ids.astype("int64")
+                        found, n = np.unique(np.where(begins[at], 0, wide[at] << 2 * BITS) | (wide[at + 1] << BITS) | wide[at + 2], return_counts=True)
+                        rest.update(dict(zip(found.tolist(), n.tolist())))
+        dense[0] = 0  # between words nothing is said
+        codes = np.flatnonzero(dense)
+        a, b, c = codes // PLAIN**2, codes // PLAIN % PLAIN, codes % PLAIN
+        own = (a < PLAIN - 1) & (b < PLAIN - 1) & (c < PLAIN - 1)
+        found = np.concatenate([((a << 2 * BITS) | (b << BITS) | c)[own], np.fromiter(rest, "int64", len(rest))])
+        n = np.concatenate([dense[codes[own]], np.fromiter(rest.values(), "int64", len(rest))])
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(n, pa.int64())], ["code", "n"])
 
     return texts(docs).mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
-def language_model(docs: DataFrame) -> np.ndarray:
-    """Log probabilities of a letter after two others; the table's size is fixed by the alphabet."""
-    counts = np.zeros(LETTERS**3)
-    for row in trigram_counts(docs).collect():
-        counts[row["code"]] = row["n"]
-    counts = counts.reshape(LETTERS, LETTERS, LETTERS)
-    pairs = counts.sum(0) + 0.5
-    backed = pairs / pairs.sum(1, keepdims=True)
-    return np.log((counts + 2.0 * backed[None]) / (counts.sum(2, keepdims=True) + 2.0))
+def language_model(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Trigram codes and their counts: a row for each trigram of letters and blocks that occurs."""
+    rows = trigram_counts(docs).orderBy("code").collect()
+    return np.array([r["code"] for r in rows], "int64"), np.array([r["n"] for r in rows], "int64")
+
+
+class Model(dict):
+    """Log probabilities of a symbol after two others, by trigram code; made when first asked for."""
+
+    def __init__(self, codes: np.ndarray, counts: np.ndarray):
+        super().__init__()
+        self.three = dict(zip(codes.tolist(), counts.tolist()))
+        self.two, self.after_two, self.after_one = Counter(), Counter(), Counter()
+        mask = (1 << 2 * BITS) - 1
+        for code, n in self.three.items():
+            self.two[code & mask] += n
+            self.after_two[code >> BITS] += n
+            self.after_one[(code & mask) >> BITS] += n
+        self.letters = len(self.after_one) + 1
+
+    def __missing__(self, code: int) -> float:
+        pair, last = code & ((1 << 2 * BITS) - 1), code >> BITS
+        backed = (self.two[pair] + 0.5) / (self.after_one[pair >> BITS] + 0.5 * self.letters)
+        value = math.log((self.three.get(code, 0) + 2.0 * backed) / (self.after_two[last] + 2.0))
+        if len(self) > 300_000:
+            self.clear()
+        self[code] = value
+        return value
 
 
 class Channel:
     """Restores obfuscated tokens under a character language model."""
 
-    def __init__(self, model: np.ndarray):
-        self.model = model.tolist()
-
-    def options(self, text: str, at: int) -> list[tuple[str, float]]:
-        c = text[at]
-        if c.isalpha():
-            found = [(c, 0.0)]
-            if at and text[at - 1] == c:
-                found.append(("", REPEAT))
-            return found
-        found = [(letter, IMITATE) for letter in LOOKALIKES.get(c, "")]
-        if c in SEPARATORS:
-            found.append(("", DROP))
-        elif at and text[at - 1] == c:
-            found.append(("", REPEAT))
-        return [*found, (" ", BREAK)]
+    def __init__(self, model: tuple[np.ndarray, np.ndarray]):
+        self.model = Model(*model)
+        self._steps: dict[tuple[str, bool], tuple] = {}
+
+    def options(self, c: str, again: bool) -> tuple[tuple[str, int, float], ...]:
+        """What ``c`` may stand for, with the letter's symbol and the cost; ``again`` if the same character is before it."""
+        found = self._steps.get((c, again))
+        if found is None:
+            if c.isalpha():
+                ways = [(c, 0.0)] + [("", REPEAT)] * again
+            else:
+                ways = [(letter, IMITATE) for letter in LOOKALIKES.get(c, "")]
+                if c in SEPARATORS:
+                    ways.append(("", DROP))
+                elif again:
+                    ways.append(("", REPEAT))
+                ways.append((" ", BREAK + WASTE * (c in LOOKALIKES)))
+            found = tuple((letter, symbol(letter) if letter else -1, cost) for letter, cost in ways)
+            if len(self._steps) < 100_000:
+                self._steps[c, again] = found
+        return found
 
     def decode(self, text: str) -> str:
-        """The best path through the lattice of ``text`` (lower case); words of the result are split by spaces."""
-        model = self.model
-        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+        """The best path through the lattice of ``text`` (lower case); words of the result are split by spaces.
+
+        A state is the last two symbols; ties go to the path that was found first.
+        """
+        model, options, mask = self.model, self.options, (1 << 2 * BITS) - 1
+        states: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
         out: list[str] = []
-        for at in range(len(text) + 1):
-            steps = self.options(text, at) if at < len(text) else [(" ", 0.0)]
-            after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
-            for (a, b), (score, path) in states.items():
-                for letter, cost in steps:
-                    if not letter:
-                        key, total, way = (a, b), score + cost, path
+        before = ""
+        for at, c in enumerate(text):
+            steps = options(c, c == before)
+            before = c
+            after: dict[int, tuple[float, tuple | None]] = {}
+            for last, (score, path) in states.items():
+                for letter, sign, cost in steps:
+                    if sign < 0:
+                        key, total, way = last, score + cost, path
+                    elif not sign:  # the word ends, or a character outside words goes
+                        key, total, way = 0, score + cost + (model[last << BITS] if last else OUTSIDE), (path, letter)
                     else:
-                        c = symbol(letter)
-                        key, total, way = (b, c), score + cost + model[a][b][c], (path, letter)
-                    if key not in after or after[key][0] < total:
+                        code = (last << BITS) | sign
+                        key, total, way = code & mask, score + cost + model[code], (path, letter)
+                    known = after.get(key)
+                    if known is None or known[0] < total:
                         after[key] = (total, way)
             states = after
             if at % COMMIT == COMMIT - 1:
                 states = self._committed(states, out)
-        return "".join(out + self._letters(max(states.values(), key=lambda x: x[0])[1]))
+        best = max(states.items(), key=lambda x: x[1][0] + (model[x[0] << BITS] if x[0] else 0.0))
+        return "".join(out + self._letters(best[1][1]))
 
     @staticmethod
     def _letters(path: tuple | None) -> list[str]:
@@ -155,20 +217,21 @@ class Channel:
 
     def words(self, token: str) -> list[str]:
         """The word of a token, and its restored words if it looks obfuscated."""
-        word = token.strip(EDGE).lower()
-        low = token.lower().rstrip(".,;:?\"')]}>»”’…").lstrip("\"'([{<«“‘")
+        token = token.lower()
+        word = token.strip(EDGE)
+        low = token.rstrip(CLOSING).lstrip(OPENING)
         if word.isalpha() and low[:1] not in LOOKALIKES:
             return [word, *self.decode(word).split()] if RUN.search(word) else [word]
         if not any(c.isalpha() or c in LOOKALIKES for c in low):
             return [word] if word else []
         return [word or low, *self.decode(low).split()]
 
-    def spaced(self, text: str) -> list[str]:
-        """Words spelt as single characters with spaces between them, joined and decoded."""
+    def spaced(self, text: str) -> list[list[str]]:
+        """For each word spelt as single characters with spaces between them: the joined characters and the decoded words."""
         out = []
         for run in SPACED.findall(text):
             parts = run.lower().split()
-            out += ["".join(parts), *self.decode(" ".join(parts)).split()]
+            out.append(["".join(parts), *self.decode(" ".join(parts)).split()])
         return out
 
     def restore(self, text: str) -> str:
@@ -181,31 +244,53 @@ class Channel:
         return " ".join(found[1:]) if len(found) > 1 else token
 
 
+def plain_words(text: str) -> tuple[set[str], list[str]]:
+    """The words of a text that have one path only, and the tokens that have more."""
+    plain, other = set(), []
+    for token in set(text.lower().split()):
+        word = token if token.isalpha() else token.strip(EDGE)
+        if word.isalpha() and not RUN.search(word) and (word is token or token.lstrip(OPENING)[:1] not in LOOKALIKES):
+            plain.add(word)
+        else:
+            other.append(token)
+    return plain, other
+
+
 def features(word: str) -> list[str]:
     return [word, *(f"{word[:k]}~" for k in (4, 5, 6) if len(word) > k)]
 
 
-def document_words(channel: Channel, memo: Memo, text: str) -> set[str]:
-    found = set()
-    for words in map(memo.__getitem__, set(text.split())):
-        found.update(words)
-    found.update(channel.spaced(text))
-    return found
+class Words:
+    """The distinct words of texts: a plain one is itself, another token is its word and what that is restored to, in one string."""
+
+    def __init__(self, channel: Channel):
+        self.channel = channel
+        self.memo = Memo(lambda token: " ".join(dict.fromkeys(channel.words(token))), REMEMBERED)
+
+    def of(self, text: str) -> tuple[set[str], set[str]]:
+        plain, other = plain_words(text)
+        found = set(map(self.memo.__getitem__, other))
+        found.update(" ".join(dict.fromkeys(w)) for w in self.channel.spaced(text))
+        found.discard("")
+        return plain - found, found
 
 
 class Scorer:
-    """Evidence of a text: the sum of its strongest word weights."""
+    """Evidence of words: the sum of the strongest weights."""
 
-    def __init__(self, channel: Channel, weights: dict[str, float]):
-        self.channel, self.weights = channel, weights
-        self.memo = Memo(lambda token: max((self.weight(w) for w in channel.words(token)), default=0.0), REMEMBERED)
+    def __init__(self, weights: dict[str, float]):
+        self.weights = weights
+        #: The first letters of every feature: few words begin like one.
+        self.starts = {f[:4].rstrip("~") for f in weights}
+        self.memo = Memo(lambda words: max(map(self.weight, words.split(" "))), REMEMBERED)
 
     def weight(self, word: str) -> float:
         return max((self.weights.get(f, 0.0) for f in features(word)), default=0.0)
 
-    def evidence(self, text: str) -> tuple[float, int]:
-        found = [w for w in map(self.memo.__getitem__, set(text.split())) if w]
-        found += [w for w in map(self.weight, self.channel.spaced(text)) if w]
+    def evidence(self, plain: set[str], other: set[str]) -> tuple[float, int]:
+        starts = self.starts
+        found = [w for w in [self.weight(x) for x in plain if x[:4] in starts] if w]
+        found += [w for w in map(self.memo.__getitem__, other) if w]
         return sum(nlargest(STRONGEST, found)), len(found)
 
 
@@ -221,39 +306,64 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED)
     return texts(docs).join(F.broadcast(known), "doc_id")  # at most ``most`` rows of 12 bytes
 
 
-def _feature_documents(rows: DataFrame, model: np.ndarray, only: frozenset[str] | None) -> DataFrame:
-    """``feature, n``: in how many texts of ``rows`` each feature occurs."""
+def restored(rows: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """``toxic`` (0 or 1) and the distinct ``words`` of each training row."""
+
+    def run(batches):
+        words = Words(Channel(model))
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1024):
+                part = batch.slice(lo, 1024)
+                found = [sorted(set.union(*words.of(t))) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.string()))], ["toxic", "words"])
+
+    return rows.select((F.col("toxic") > 0).cast("int").alias("toxic"), "text").mapInArrow(run, "toxic int, words array<string>")
+
+
+def _feature_documents(rows: DataFrame, only: frozenset[str] | None) -> DataFrame:
+    """``feature, n``: in how many of ``rows`` each feature occurs, or each one of ``only``."""
 
     def run(batches):
-        channel = Channel(model)
-        memo = Memo(lambda token: tuple(dict.fromkeys(channel.words(token))), REMEMBERED)
+        def of(words):
+            found = dict.fromkeys(f for w in words.split(" ") for f in features(w))
+            return tuple(found if only is None else (f for f in found if f in only))
+
+        memo = Memo(of, REMEMBERED)
         n: Counter[str] = Counter()
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                found = {f for w in document_words(channel, memo, text) for f in features(w)}
-                n.update(found if only is None else found & only)
-            if len(n) > 2 * REMEMBERED:
-                yield pa.RecordBatch.from_pydict({"feature": list(n), "n": list(n.values())})
-                n.clear()
+            for words in batch.column(0).to_pylist():
+                n.update({f for w in words for f in memo[w]})
+                if len(n) > COUNTED:
+                    yield pa.RecordBatch.from_pydict({"feature": list(n), "n": list(n.values())})
+                    n.clear()
         yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["feature", "n"])
 
-    return rows.select("text").mapInArrow(run, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+    return rows.select("words").mapInArrow(run, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> dict:
-    """Language model, feature weights and the two numbers of the logistic curve; sizes are bounded by the parameters."""
+    """Language model, feature weights and the two numbers of the logistic curve.
+
+    What is learned from labels is bounded by ``most`` rows: features are those of ``SUPPORT`` toxic ones or more.
+    """
     model = language_model(docs)
-    rows = training_rows(docs, labels, most)
-    size = {r["toxic"]: r["n"] for r in rows.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()}
+    rows = cut(restored(training_rows(docs, labels, most), model))
+    size = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     yes, no = size.get(1, 0), size.get(0, 0)
     if not yes:
         return {"model": model, "weights": {}, "slope": 0.0, "shift": -20.0}
-    first = _feature_documents(rows.where("toxic > 0"), model, None).where(F.col("n") >= SUPPORT)
-    hits = {r["feature"]: r["n"] for r in first.orderBy(F.desc("n"), "feature").limit(MAX_FEATURES).collect()}
-    misses = {r["feature"]: r["n"] for r in _feature_documents(rows.where("toxic <= 0"), model, frozenset(hits)).collect()}
+    hits = {r["feature"]: r["n"] for r in _feature_documents(rows.where("toxic = 1"), None).where(F.col("n") >= SUPPORT).orderBy("feature").collect()}
+    misses = {r["feature"]: r["n"] for r in _feature_documents(rows.where("toxic = 0"), frozenset(hits)).collect()}
     weights = {f: math.log((n + 0.5) / (yes + 1)) - math.log((misses.get(f, 0) + 0.5) / (no + 1)) for f, n in hits.items()}
     weights = {f: w for f, w in weights.items() if w >= LEAST_WEIGHT}
-    binned = _evidence(rows.select("doc_id", "text", "toxic"), model, weights).groupBy(F.round("evidence", 1).alias("x"), (F.col("toxic") > 0).cast("int").alias("y")).agg(F.count("*").alias("n"))
+
+    def judged(batches):
+        scorer = Scorer(weights)
+        for batch in batches:
+            found = [scorer.evidence(set(), set(words))[0] for words in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], ["y", "evidence"])
+
+    binned = rows.mapInArrow(judged, "y int, evidence double").groupBy(F.round("evidence", 1).alias("x"), "y").agg(F.count("*").alias("n"))
     x, y, n = (np.array(c, float) for c in zip(*[(r["x"], r["y"], r["n"]) for r in binned.orderBy("x", "y").collect()]))
     a = b = 0.0
     for _ in range(50):  # Newton steps with a small ridge
@@ -268,27 +378,28 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> dict:
     return {"model": model, "weights": weights, "slope": max(0.0, round(a, 6)), "shift": round(b, 6)}
 
 
-def _evidence(rows: DataFrame, model: np.ndarray, weights: dict[str, float]) -> DataFrame:
-    """Appends ``evidence`` and ``n_flagged`` to ``doc_id, text`` and what follows them; the text itself goes."""
+def evidence(text, fitted: dict):
+    """Column of ``evidence`` and ``n_flagged`` of a text column; only the texts go to Python."""
+    model, weights = fitted["model"], fitted["weights"]
 
-    def run(batches):
-        scorer = Scorer(Channel(model), weights)
+    @F.arrow_udf("struct<evidence: double, n_flagged: long>")
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        words, scorer = Words(Channel(model)), Scorer(weights)
         for batch in batches:
-            found = [scorer.evidence(t) for t in batch.column("text").to_pylist()]
-            keep = [k for k, c in enumerate(batch.schema.names) if c != "text"]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(k) for k in keep), pa.array([e for e, _ in found], pa.float64()), pa.array([n for _, n in found], pa.int64())],
-                [*(batch.schema.names[k] for k in keep), "evidence", "n_flagged"],
-            )
+            found = [scorer.evidence(*words.of(t)) for t in batch.to_pylist()]
+            yield pa.StructArray.from_arrays([pa.array([e for e, _ in found], pa.float64()), pa.array([n for _, n in found], pa.int64())], ["evidence", "n_flagged"])
+
+    return of(F.coalesce(text, F.lit("")))
 
-    fields = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes if c != "text")
-    return rows.mapInArrow(run, f"{fields}, evidence double, n_flagged long")
+
+def probability(evidence, fitted: dict):
+    return 1 / (1 + F.exp(-(F.lit(fitted["slope"]) * evidence + F.lit(fitted["shift"]))))
 
 
 def score(docs: DataFrame, fitted: dict) -> DataFrame:
     """``doc_id, held_out, score, predicted, n_flagged`` of every row."""
-    out = _evidence(texts(docs), fitted["model"], fitted["weights"])
-    out = out.withColumn("score", 1 / (1 + F.exp(-(F.lit(fitted["slope"]) * F.col("evidence") + F.lit(fitted["shift"])))))
+    out = texts(docs).select("doc_id", evidence(F.col("text"), fitted).alias("found"))
+    out = out.select("doc_id", probability(F.col("found.evidence"), fitted).alias("score"), F.col("found.n_flagged").alias("n_flagged"))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= PREDICT_AT).cast("int").alias("predicted"), "n_flagged")
 
 
@@ -298,15 +409,4 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, fitted: dict) -> DataFrame:
     """Rows of ``docs``, all columns as they are, without those predicted toxic; judged in the same pass."""
-    schema = docs.schema
-
-    def run(batches):
-        scorer = Scorer(Channel(fitted["model"]), fitted["weights"])
-        for batch in batches:
-            keep = []
-            for t in batch.column("text").to_pylist():
-                x = fitted["slope"] * scorer.evidence(t or "")[0] + fitted["shift"]
-                keep.append(1 / (1 + math.exp(-x)) < PREDICT_AT)
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    return docs.mapInArrow(run, schema)
+    return docs.where(probability(evidence(F.col("text"), fitted)["evidence"], fitted) < PREDICT_AT)
