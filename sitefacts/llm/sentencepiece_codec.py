@@ -37,8 +37,6 @@ def stream_ids(vocab: Vocabulary, chunks: Iterable[str]) -> Iterator[int]:
     yield from lattice.finish()
 
 
-
-
 class Codec:
     """Encodes whole texts to packed ids and back, one per Python worker."""
 
