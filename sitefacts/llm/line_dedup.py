@@ -5,6 +5,9 @@ third of all rows shuffles one sketch a task). A line clearly above ``min_sites`
 not; one within the sketch's error of the threshold gets an exact distinct count. Boilerplate goes from every document
 but the first that holds it (smallest doc_id, then position), so no wording is lost from the corpus as a whole.
 
+A line of very many documents is never one join key of one task: lines near the threshold, and boilerplate lines, are few
+against all lines and are broadcast where a count proves it; beyond that bound their rows are salted.
+
 Short lines meet by chance or custom; a line of ``LONG_WORDS`` words or more does not, so ``remove_boilerplate`` takes it
 for boilerplate from ``long_sites`` sites on. ``report`` has one threshold for all lines, that of its SQL.
 
@@ -19,12 +22,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitefacts.llm.common import cut, words_of
+from sitefacts.llm.common import BROADCAST_ROWS, bind, cut, words_of
 
 MIN_SITES = 10
 #: Lines of so many words count as long, and are boilerplate on so many sites.
 LONG_WORDS, LONG_SITES = 50, 3
 LG_K = 12
+#: Ways in which the rows of a line are dealt where its keys are too many to broadcast.
+SALTS = 64
 
 _ID, _HASH, _DROP = "__line_doc", "__line_text", "__line_drop"
 
@@ -48,18 +53,28 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K,
     spread = lines.groupBy("key").agg(F.hll_sketch_agg("site", lg_k).alias("sketch"), F.min(F.struct(_ID, _HASH, "pos")).alias("first"), F.max("long").alias("long"))
     spread = cut(spread.select("key", "first", "long", F.hll_sketch_estimate("sketch").alias("sites")).where(F.col("sites") >= least * (1 - error) - 1))
     near = spread.where(F.col("sites") <= least * (1 + error) + 1).select("key")
-    exact = lines.join(near, "key", "left_semi").groupBy("key", "site").count().groupBy("key").agg(F.count("*").alias("exact"))
+    exact = with_few(lines, near).groupBy("key", "site").count().groupBy("key").agg(F.count("*").alias("exact"))
     return spread.join(exact, "key", "left").where(F.coalesce("exact", "sites") >= least).select("key", "first")
 
 
+def with_few(lines: DataFrame, few: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``lines`` joined with the rows that ``few`` has of their keys, at most one each; no key is left to one task."""
+    few = cut(few)
+    if few.count() <= most:
+        return lines.join(F.broadcast(few), "key")
+    salted = lines.withColumn("__line_salt", F.pmod(F.xxhash64(_ID, "pos"), F.lit(SALTS)))
+    return salted.join(few.withColumn("__line_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["key", "__line_salt"]).drop("__line_salt")
+
+
 def remove_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, lg_k: int = LG_K, long_sites: int = LONG_SITES) -> DataFrame:
     """``docs`` with boilerplate lines taken out of ``text``, and ``n_lines`` (lines with content) and ``n_removed``."""
     lines = cut(site_lines(docs, site))
-    drops = lines.join(boilerplate(lines, min_sites, lg_k, long_sites), "key").where(F.struct(_ID, _HASH, "pos") != F.col("first"))
+    drops = with_few(lines, boilerplate(lines, min_sites, lg_k, long_sites)).where(F.struct(_ID, _HASH, "pos") != F.col("first"))
     drops = drops.groupBy(_ID, _HASH).agg(F.collect_set("pos").alias(_DROP))
     parts = F.split("text", "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(_DROP))
-    text = F.when(F.col(_DROP).isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n"))
+    cleaned = bind(parts, lambda p: F.array_join(F.transform(kept, lambda i: F.get(p, i)), "\n"))
+    text = F.when(F.col(_DROP).isNull(), F.col("text")).otherwise(cleaned)
     filled = F.size(F.filter(parts, lambda x: F.btrim(x, F.lit(" \t\r")) != ""))
     return (
         _with_keys(docs)
