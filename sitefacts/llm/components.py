@@ -1,4 +1,8 @@
-"""Connected components by alternating large-star and small-star rounds over an edge table."""
+"""Connected components by alternating large-star and small-star rounds over an edge table.
+
+Edges with a null end, and edges from a node to itself, say nothing and are left out; repeated edges count once; no edges
+give no rows. Other columns stay behind.
+"""
 
 from __future__ import annotations
 

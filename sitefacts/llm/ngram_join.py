@@ -9,16 +9,19 @@ something to find:
    shared shingles than that has no partner and leaves. Shingles that repeat inside one task's batch are sent once, so a
    shingle of very many documents costs one entry a batch. (Short keys can only add candidates, never lose one.)
 3. Among the rest, shared shingles are counted exactly and ordered rarest first. By the same bound, two similar documents
-   share a shingle in their first ``shared - 3n/4 + 1`` ones; documents that do so form candidate clusters.
+   share a shingle in their first ``shared - 3n/4 + 1`` ones; documents that do so, and whose sizes are of one size class
+   or of neighbouring ones (a class spans a factor of 4/3, so no similar pair is further apart), form candidate clusters.
 4. Row blocks: each cluster is multiplied, in blocks of bounded size, accumulating overlap counts column block by column
-   block; row blocks whose sizes differ by more than the bound are skipped. A block gives out a spanning forest of its
-   links, never its pairs. Clusters above the block size first meet along a star of blocks; only classes that are not in
+   block; row blocks whose sizes differ by more than the bound are skipped, and a row leaves as soon as the shingles that
+   it has left cannot bring any of its pairs up to the bound. A block gives out a spanning forest of its links, never its
+   pairs. Clusters above the block size first meet along a star of blocks; only classes that are not in
    the largest component then meet the remaining blocks, which covers every pair of different components.
 
 The result's links are exactly those with 100 * intersection >= 75 * union (shingles compared by 64-bit hashes).
 
 Null or empty texts, and texts of blanks, have an empty set and are linked with nothing. A text of fewer than five words
 is one shingle. Repeated rows fall into one class; a null doc_id counts as the smallest id. Other columns stay behind.
+``keep_one`` keeps one row of each component, of repeated rows too, and every row with an empty set, all columns as they are.
 """
 
 from __future__ import annotations
@@ -70,15 +73,15 @@ def least_shared(n):
 
 
 def document_sets(docs: DataFrame) -> DataFrame:
-    """``doc_id, n, node``: set size and class of every row."""
+    """``doc_id, of_text, n, node``: hash of the text, set size and class of every row."""
 
     def run(batches):
         for batch in batches:
             sets = [shingles(t) for t in batch.column(1).to_pylist()]
             nodes = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], "uint64").view("int64")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes)], ["doc_id", "n", "node"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes)], ["doc_id", "of_text", "n", "node"])
 
-    return _rows(docs).mapInArrow(run, "doc_id long, n long, node long")
+    return _rows(docs).withColumn("of_text", F.xxhash64("text")).mapInArrow(run, "doc_id long, of_text long, n long, node long")
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -210,10 +213,14 @@ def clusters(sets: DataFrame) -> DataFrame:
     counts = postings.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
     shared = postings.join(counts, "key").groupBy("node").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "key"))).alias("found"))
     spare = F.size("found") - F.ceil(F.col("n") * PART / WHOLE) + 1
-    first = cut(shared.where(spare > 0).select("node", F.explode(F.transform(F.slice("found", 1, spare.cast("int")), lambda x: x["key"])).alias("key")))
-    heads = first.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("c")).where("c > 1")
-    edges = first.join(heads, "key").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
-    return components(edges).select("node", F.col("label").alias("cluster"))
+    size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(WHOLE / PART)) + 1e-9).cast("int")
+    first = shared.where(spare > 0).select("node", size_class.alias("size"), F.explode(F.transform(F.slice("found", 1, spare.cast("int")), lambda x: x["key"])).alias("key"))
+    first = cut(first)
+    heads = cut(first.groupBy("key", "size").agg(F.min("node").alias("head"), F.count("*").alias("c")))
+    edges = first.join(heads.where("c > 1"), ["key", "size"]).where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    above = heads.select("key", (F.col("size") - 1).alias("size"), F.col("head").alias("above"))
+    edges = edges.unionByName(heads.join(above, ["key", "size"]).where("head <> above").select(F.col("head").alias("a"), F.col("above").alias("b")))
+    return components(edges.distinct()).select("node", F.col("label").alias("cluster"))
 
 
 def forest(nodes: np.ndarray, sizes: np.ndarray, keys: np.ndarray) -> list[tuple[int, int]]:
@@ -249,21 +256,30 @@ def forest(nodes: np.ndarray, sizes: np.ndarray, keys: np.ndarray) -> list[tuple
     by_column = np.argsort(column, kind="stable")
     owner, column = owner[by_column], column[by_column]
     cuts = np.searchsorted(column, np.arange(0, width + step, step))
+    held = np.bincount(owner, minlength=len(nodes))
     for i in range(0, len(nodes), rows):
         for j in range(i, len(nodes), rows):
             a, b = sizes[i : i + rows], sizes[j : j + rows]
             if PART * b.min() > WHOLE * a.max():
                 break
-            overlap = np.zeros((len(a), len(b)))
+            linked = np.zeros((len(a), len(b)), bool)
+            x, y = np.arange(len(a)), np.arange(len(b))  # the rows of either side that may still have a partner
+            overlap = np.zeros((len(a), len(b)), "float32")
+            rest_a, rest_b = held[i : i + rows].copy(), held[j : j + rows].copy()
             for lo, hi, c in zip(cuts[:-1], cuts[1:], range(0, width, step)):
-                left, right = np.zeros((len(a), step), "float32"), np.zeros((len(b), step), "float32")
                 who, col = owner[lo:hi], column[lo:hi] - c
-                here = (who >= i) & (who < i + rows)
-                left[who[here] - i, col[here]] = 1
-                here = (who >= j) & (who < j + rows)
-                right[who[here] - j, col[here]] = 1
+                left, rest_a = _dense(who - i, col, len(a), step, x, rest_a)
+                right, rest_b = _dense(who - j, col, len(b), step, y, rest_b)
                 overlap += left @ right.T
-            linked = WHOLE * overlap >= PART * (a[:, None] + b[None, :] - overlap)
+                reach = overlap + np.minimum(rest_a[x][:, None], rest_b[y][None, :])
+                may = (PART + WHOLE) * reach >= PART * (a[x][:, None] + b[y][None, :])
+                keep_x, keep_y = may.any(1), may.any(0)
+                if not (keep_x.all() and keep_y.all()):
+                    x, y, overlap = x[keep_x], y[keep_y], overlap[np.ix_(keep_x, keep_y)]
+                    if not len(x):
+                        break
+            if len(x):
+                linked[np.ix_(x, y)] = (PART + WHOLE) * overlap >= PART * (a[x][:, None] + b[y][None, :])
             some = np.flatnonzero(linked.any(1))
             merge(some + i, linked[some].argmax(1) + j)  # one link of each row joins most of them
             label = np.array([root(k) for k in range(j + len(b))])
@@ -278,6 +294,18 @@ def forest(nodes: np.ndarray, sizes: np.ndarray, keys: np.ndarray) -> list[tuple
     return out
 
 
+def _dense(who: np.ndarray, column: np.ndarray, n: int, step: int, keep: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows ``keep`` of a row block's incidence in one column block, and what the rows have left after it."""
+    here = (who >= 0) & (who < n)
+    who, column = who[here], column[here]
+    place = np.full(n, -1)
+    place[keep] = np.arange(len(keep))
+    used = place[who] >= 0
+    out = np.zeros((len(keep), step), "float32")
+    out[place[who[used]], column[used]] = 1
+    return out, rest - np.bincount(who, minlength=n)
+
+
 def multiply(rows: DataFrame) -> DataFrame:
     """Links ``a, b`` inside each ``part`` of each ``unit`` of rows ``unit, part, node, n, keys``."""
 
@@ -335,8 +363,8 @@ def _paired(rows: DataFrame, kind: str) -> DataFrame:
     return rows.select(key.alias("unit"), F.lit(0).cast("long").alias("part"), "node", "n", "keys")
 
 
-def near_components(docs: DataFrame, row_classes: int = ROW_CLASSES, row_shingles: int = ROW_SHINGLES) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` of every row."""
+def _components(docs: DataFrame, row_classes: int = ROW_CLASSES, row_shingles: int = ROW_SHINGLES) -> DataFrame:
+    """``doc_id, of_text, n, label`` of every row: the label is that of its component, null for an empty set."""
     spark = docs.sparkSession
     rows = cut(document_sets(docs))
     total = rows.agg(F.sum("n").alias("n"), F.count("*").alias("rows")).first()
@@ -345,7 +373,12 @@ def near_components(docs: DataFrame, row_classes: int = ROW_CLASSES, row_shingle
     wanted = rows.where("n > 1").join(shared, "doc_id").where(F.col("shared") >= F.ceil(F.col("n") * PART / WHOLE))
     sets = cut(class_sets(docs, wanted.groupBy("node").agg(F.min("doc_id").alias("doc_id"))))
     labels = components(class_links(sets, row_classes, row_shingles))
-    rows = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    return rows.join(labels, "node", "left").withColumn("label", F.when(F.col("n") > 0, F.coalesce("label", "node")))
+
+
+def near_components(docs: DataFrame, row_classes: int = ROW_CLASSES, row_shingles: int = ROW_SHINGLES) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` of every row."""
+    rows = _components(docs, row_classes, row_shingles)
     heads = rows.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     out = rows.where("n > 0").join(heads, "label").unionByName(rows.where("n = 0").withColumn("component_id", F.col("doc_id")))
     plain = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
@@ -353,8 +386,36 @@ def near_components(docs: DataFrame, row_classes: int = ROW_CLASSES, row_shingle
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` without the documents whose component has a smaller id; documents with empty sets all stay."""
-    stay = near_components(docs).where(F.expr("doc_id <=> component_id"))
-    stay = stay.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("__near_id")).distinct()
-    keyed = docs.withColumn("__near_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
-    return keyed.join(stay, "__near_id", "left_semi").select(*docs.columns)
+    """``docs`` with one row of each component, that of the smallest id; rows with empty sets all stay.
+
+    Of rows with equal id and text any one stays; of rows with equal id in one component, the one of the smallest text hash.
+    """
+    rows = cut(_components(docs))
+    heads = cut(rows.where("n > 0").groupBy("label").agg(F.min(F.struct("doc_id", "of_text")).alias("x")).select("x.*"))
+    stay = heads.unionByName(rows.where("n = 0").select("doc_id", "of_text").distinct())
+    stay = stay.select(F.col("doc_id").alias("__near_id"), F.col("of_text").alias("__near_text"))
+    keyed = docs.withColumn("__near_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))).withColumn("__near_text", F.xxhash64(F.coalesce("text", F.lit(""))))
+    kept = keyed.join(stay, ["__near_id", "__near_text"], "left_semi")
+    repeated = rows.where("n > 0").groupBy("doc_id", "of_text").count().where("count > 1").join(heads, ["doc_id", "of_text"], "left_semi")
+    if not repeated.isEmpty():  # a head that stands in several rows
+        full = kept.where(_has_words()).dropDuplicates(["__near_id", "__near_text"])
+        kept = full.unionByName(kept.where(~_has_words()))
+    return kept.select(*docs.columns)
+
+
+def _has_words():
+    return F.coalesce(F.col("text"), F.lit("")).rlike("[^ \\t-\\r]")
+
+
+ORACLE = """
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t-\\r]+'), lambda w: w <> '') AS w FROM documents),
+     s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                  ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS keys FROM d),
+     p AS (SELECT doc_id, len(keys) AS n, hash(unnest(keys)) AS key FROM s),
+     k AS (SELECT key FROM p GROUP BY key HAVING count(*) > 1),
+     q AS MATERIALIZED (SELECT p.* FROM p SEMI JOIN k USING (key)),
+     e AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b FROM q a JOIN q b ON a.key = b.key AND a.doc_id <> b.doc_id AND 4 * a.n >= 3 * b.n AND 4 * b.n >= 3 * a.n
+           GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+     r AS (SELECT doc_id, doc_id AS x FROM s UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.x = e.a)
+SELECT s.doc_id, len(keys)::BIGINT AS n_shingles, c.x AS component_id FROM s JOIN (SELECT doc_id, min(x) AS x FROM r GROUP BY doc_id) c USING (doc_id)
+"""

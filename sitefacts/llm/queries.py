@@ -52,4 +52,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op3_exact_top_k": cover_tree.ORACLE, "op4_line_dedup": line_dedup.ORACLE, "op6_mixing": mixing.oracle(), "op7_quality_rules": quality_rules.oracle()}
+    return {"op3_exact_top_k": cover_tree.ORACLE, "op4_line_dedup": line_dedup.ORACLE, "op5_ngram_join": ngram_join.ORACLE, "op6_mixing": mixing.oracle(), "op7_quality_rules": quality_rules.oracle()}
