@@ -1,11 +1,13 @@
 """URL filtering: host and path rules first, a logistic regression on character n-grams for the rest.
 
 A rule names a host, with all its subdomains, and a path beginning; the longest rule that fits decides. Urls without a
-rule are judged by logistic regression on hashed 3- to 5-grams of host and path. Its small labelled table is made of urls
-that rules decide: at most ``MOST_LABELLED`` distinct ones, half of each verdict, in hash order.
+rule are judged by logistic regression on hashed 3- to 5-grams of the characters of host and path. It learns from a small
+labelled table of urls (``url, verdict``); where none is given, the urls that rules decide serve as one. At most
+``MOST_LABELLED`` distinct urls are learned from, half of each verdict, in hash order.
 
 Null urls and urls without ``://`` have empty host and path; the model judges them as such. With labels of one verdict
-only, the model gives that verdict; with none, it allows. Repeated rows are judged alike; extra columns stay behind.
+only, the model gives that verdict; with none, it allows; labels that are null or say anything else are left out, and of
+labels that differ for one url both count. Repeated rows are judged alike; extra columns, whatever their names, stay behind.
 """
 
 from __future__ import annotations
@@ -35,8 +37,13 @@ PARTS = "(?s)^.*?://([^/?#]*)([^?#]*)"
 
 
 def with_parts(pages: DataFrame) -> DataFrame:
-    url = F.coalesce(F.col("url"), F.lit(""))
-    return pages.select("page_id", F.translate(F.regexp_extract(url, PARTS, 1), UPPER, LOWER).alias("host"), F.regexp_extract(url, PARTS, 2).alias("path"))
+    return pages.select("page_id", *parts(F.col("url")))
+
+
+def parts(url) -> list:
+    """Columns ``host`` and ``path`` of a url column."""
+    url = F.coalesce(url, F.lit(""))
+    return [F.translate(F.regexp_extract(url, PARTS, 1), UPPER, LOWER).alias("host"), F.regexp_extract(url, PARTS, 2).alias("path")]
 
 
 def with_rule(parts: DataFrame, rules=RULES) -> DataFrame:
@@ -50,8 +57,8 @@ def with_rule(parts: DataFrame, rules=RULES) -> DataFrame:
 
 def grams(host: str, path: str) -> np.ndarray:
     """Hashed n-grams of a url, each bucket once."""
-    text = f"^{host}|{path}$".encode()
-    return np.unique(np.array([zlib.crc32(text[i : i + n], n) % BUCKETS for n in GRAMS for i in range(len(text) - n + 1)], "int64"))
+    text = f"^{host}|{path}$"
+    return np.unique(np.array([zlib.crc32(text[i : i + n].encode("utf-8", "replace"), n) % BUCKETS for n in GRAMS for i in range(len(text) - n + 1)], "int64"))
 
 
 def labelled(ruled: DataFrame, most: int = MOST_LABELLED) -> DataFrame:
@@ -85,10 +92,11 @@ def fit(rows: list, epochs: int = 60, rate: float = 0.5, ridge: float = 1e-4) ->
     return weights, shift
 
 
-def judge(pages: DataFrame, rules=RULES, most: int = MOST_LABELLED) -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, most: int = MOST_LABELLED, labels: DataFrame | None = None) -> DataFrame:
     """``page_id, host, path, rule, verdict`` and ``score`` (the model's, for urls without a rule), one row a page."""
     ruled = with_rule(with_parts(pages), rules)
-    weights, shift = fit(labelled(ruled, most).collect())  # at most ``most`` short rows
+    known = ruled if labels is None else labels.select(*parts(F.col("url")), F.col("verdict").alias("ruled"))
+    weights, shift = fit(labelled(known, most).collect())  # at most ``most`` short rows
 
     def run(batches):
         def score(url):
