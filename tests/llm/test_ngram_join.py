@@ -67,3 +67,45 @@ def test_one_of_each_group_stays(spark):
     rows = [(1, "a b c d e f g h"), (2, "A b c d e f g h"), (3, ""), (4, None), (5, "quite other words in here now")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.doc_id for r in ngram_join.keep_one(df).collect()) == [1, 3, 4, 5]
+
+
+def test_one_of_repeated_rows_stays(spark):
+    rows = [(1, "a b c d e f g h", "x")] * 3 + [(1, "a b c d e f  g h", "x"), (1, "quite other words in here now", "x"), (None, "a b c d e f g h z", "n"), (2, "", "x"), (2, "", "x"), (2, None, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label string")
+    kept = sorted((str(r.doc_id), r.text or "", r.label) for r in ngram_join.keep_one(df).collect())
+    assert kept == [("1", "quite other words in here now", "x"), ("2", "", "x"), ("2", "", "x"), ("2", "", "x"), ("None", "a b c d e f g h z", "n")]
+
+
+@pytest.mark.parametrize("classes", [9, 512])
+def test_one_large_group_of_near_copies(spark, classes):
+    rnd = random.Random(6)
+    base = [f"v{k}" for k in range(150)]
+    texts = [" ".join(w if rnd.random() > 0.005 else "odd" for w in base) + f" end{k}" for k in range(400)]
+    rows = list(enumerate([*texts, " ".join(rnd.choice(base) for _ in range(150))]))
+    assert run(spark, rows, row_classes=classes) == brute(rows)
+
+
+def test_rows_leave_blocks_only_when_no_pair_can_reach_the_bound():
+    import numpy as np
+
+    rnd = np.random.default_rng(4)
+    sets = []
+    for size in (40, 60, 90, 140, 260):
+        seed = rnd.choice(20_000, size, replace=False)
+        for _ in range(140):
+            own = seed.copy()
+            swap = rnd.random(size) < rnd.choice([0.02, 0.1, 0.14, 0.3])
+            own[swap] = rnd.integers(0, 40_000, swap.sum())
+            sets.append(np.unique(own))
+    nodes, sizes = np.arange(len(sets)), np.array([len(s) for s in sets])
+    label = list(range(len(sets)))
+    for a, b in ngram_join.forest(nodes, sizes, np.concatenate(sets)):
+        label[a] = b
+    expected = list(range(len(sets)))
+    members = [set(s.tolist()) for s in sets]
+    for i in range(len(sets)):
+        for j in range(i):
+            if 4 * len(members[i] & members[j]) >= 3 * len(members[i] | members[j]) and expected[i] != expected[j]:
+                low, high = sorted((expected[i], expected[j]))
+                expected = [low if x == high else x for x in expected]
+    assert label == expected

@@ -89,6 +89,32 @@ def test_counts_of_every_prefix(spark, library, odd_texts):
             assert r.budget_chars == max(k for k, n in enumerate(tables[r.doc_id]) if n <= budget)
 
 
+def test_stored_counts_answer_budgets_and_truncation(spark, library, odd_texts):
+    short = [t for t in odd_texts if t is None or len(t) < 200][:80]
+    stored = token_counts.prefix_counts(frame(spark, short)).cache()
+    for budget in (0, 3, 8):
+        direct = {r.doc_id: r.budget_chars for r in token_counts.token_counts(frame(spark, short), budget=budget).collect()}
+        for r in token_counts.within(stored, budget).collect():
+            assert r.chars == direct[r.doc_id] and r.n_tokens == len(library.encode((short[r.doc_id] or "")[: r.chars])) <= budget
+    for chars in (0, 2, 50):
+        assert all(r.n_tokens == len(library.encode((short[r.doc_id] or "")[:chars])) for r in token_counts.at(stored, chars).collect())
+
+
+def test_long_stretches_are_counted_in_a_window(spark, library, monkeypatch):
+    rnd = random.Random(7)
+    texts = ["".join(rnd.choice("abcdefth019+/ß") for _ in range(6000)), "x" * 3000, "né" * 900 + " tail", None]
+    widest = []
+    monkeypatch.setattr(Lattice, "feed", lambda self, chunk, f=Lattice.feed: (f(self, chunk), widest.append(len(self.text)))[0])
+    counter = token_counts.PrefixCounter(vocabulary(public_tokenizers.path(sentencepiece_codec.MODEL)))
+    for text in texts[:3]:
+        counts = counter.prefixes(text)
+        assert all(counts[k] == len(library.encode(text[:k])) for k in (*range(0, 200), *range(200, len(text) + 1, 97), len(text)))
+    assert max(widest) <= 5 * counter.vocab.longest and all(len(k) <= 64 for k in counter.marked)
+    rows = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")
+    assert sorted(r.n_tokens for r in token_counts.token_counts(rows).collect()) == sorted(len(library.encode(t or "")) for t in texts)
+    assert all(r.doc_id is None and r.round_trip for r in sentencepiece_codec.encode(rows).collect())
+
+
 def test_no_rows(spark):
     assert sentencepiece_codec.encode(frame(spark, []).limit(0)).count() == 0
     assert token_counts.token_counts(frame(spark, []).limit(0)).count() == 0
