@@ -2,7 +2,11 @@
 
 Toxic documents go, boilerplate lines go from the texts, one document of each near-duplicate group stays, sources are
 mixed to their targets, and what is left is encoded. All stages but the last return the columns of ``documents``;
-``n_chars`` follows the text.
+``n_chars`` follows the text. A stage's table is removed once the next one's is written.
+
+Null and empty texts pass every stage as they are, but for the mixing draw; a null text keeps a null ``n_chars``. Of repeated
+rows with words one stays. Extra columns of ``documents`` stay to the last stage, whatever their names. An empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -13,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitefacts.llm import line_dedup, mixing, ngram_join, sentencepiece_codec, toxicity
-from sitefacts.llm.common import shared_folder, table
+from sitefacts.llm.common import drop_folder, shared_folder, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,4 +59,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{place}/{k}")
         docs = spark.read.parquet(f"{place}/{k}")
+        if k:
+            drop_folder(spark, f"{place}/{k - 1}")
     return STAGES[-1][1](spark, docs, sf_dir)
