@@ -37,8 +37,10 @@ from sitefacts.llm.common import Memo, cut, texts
 MAX_LABELLED = 200_000
 SUPPORT, LEAST_WEIGHT, STRONGEST = 5, 3.0, 4
 PREDICT_AT = 0.3
-#: Decoded tokens a task remembers, and features it counts before it hands them on.
-REMEMBERED, COUNTED = 80_000, 160_000
+#: Letters of the word beginnings that are weighted.
+BEGINNINGS = (4, 5, 6)
+#: Restored tokens a task remembers, tokens without weight it remembers, and features it counts before it hands them on.
+REMEMBERED, UNMARKED, COUNTED = 80_000, 200_000, 160_000
 
 #: Characters and the letters they imitate.
 LOOKALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "(": "c", "¡": "i"}
@@ -49,7 +51,7 @@ IMITATE, REPEAT, DROP, BREAK, WASTE, OUTSIDE = -1.5, -0.5, -0.3, -2.5, -2.0, -2.
 EDGE = " \t\r\n.,;:!?\"'()[]{}<>«»“”‘’…*#$%&|"
 OPENING, CLOSING = "\"'([{<«“‘", ".,;:?\"')]}>»”’…"
 SPACED = re.compile(r"(?<!\S)\S(?:\s+\S){2,}(?!\S)")
-RUN = re.compile(r"(.)\1")
+RUN, RUNS = re.compile(r"(.)\1"), re.compile(r"(.)\1+")
 #: Characters between two looks for letters on which all paths agree.
 COMMIT = 256
 #: Bits of a symbol in a trigram's code, and where the symbols of blocks of letters begin.
@@ -135,12 +137,21 @@ class Model(dict):
         return value
 
 
+class Signs(dict):
+    """``symbol`` of characters, remembered."""
+
+    def __missing__(self, c: str) -> int:
+        value = self[c] = symbol(c)
+        return value
+
+
 class Channel:
     """Restores obfuscated tokens under a character language model."""
 
     def __init__(self, model: tuple[np.ndarray, np.ndarray]):
         self.model = Model(*model)
         self._steps: dict[tuple[str, bool], tuple] = {}
+        self._signs = Signs()
 
     def options(self, c: str, again: bool) -> tuple[tuple[str, int, float], ...]:
         """What ``c`` may stand for, with the letter's symbol and the cost; ``again`` if the same character is before it."""
@@ -191,6 +202,23 @@ class Channel:
         best = max(states.items(), key=lambda x: x[1][0] + (model[x[0] << BITS] if x[0] else 0.0))
         return "".join(out + self._letters(best[1][1]))
 
+    def alphabetic(self, word: str) -> str:
+        """``decode`` of a word of letters; where one letter stands twice, the two paths are compared directly."""
+        at = RUN.search(word).start()
+        if RUN.search(word, at + 1):
+            return self.decode(word)
+        short = word[:at] + word[at + 1 :]
+        return short if self._likelihood(short) + REPEAT > self._likelihood(word) else word
+
+    def _likelihood(self, word: str) -> float:
+        model, signs, mask = self.model, self._signs, (1 << 2 * BITS) - 1
+        total, last = 0.0, 0
+        for c in word:
+            code = (last << BITS) | signs[c]
+            total += model[code]
+            last = code & mask
+        return total + model[last << BITS]
+
     @staticmethod
     def _letters(path: tuple | None) -> list[str]:
         out = []
@@ -221,7 +249,7 @@ class Channel:
         word = token.strip(EDGE)
         low = token.rstrip(CLOSING).lstrip(OPENING)
         if word.isalpha() and low[:1] not in LOOKALIKES:
-            return [word, *self.decode(word).split()] if RUN.search(word) else [word]
+            return [word, self.alphabetic(word)] if RUN.search(word) else [word]
         if not any(c.isalpha() or c in LOOKALIKES for c in low):
             return [word] if word else []
         return [word or low, *self.decode(low).split()]
@@ -244,55 +272,101 @@ class Channel:
         return " ".join(found[1:]) if len(found) > 1 else token
 
 
-def plain_words(text: str) -> tuple[set[str], list[str]]:
-    """The words of a text that have one path only, and the tokens that have more."""
-    plain, other = set(), []
-    for token in set(text.lower().split()):
-        word = token if token.isalpha() else token.strip(EDGE)
-        if word.isalpha() and not RUN.search(word) and (word is token or token.lstrip(OPENING)[:1] not in LOOKALIKES):
-            plain.add(word)
-        else:
-            other.append(token)
-    return plain, other
+def features(word: str) -> list[str]:
+    """A word and its beginnings, these with a mark that no word has."""
+    return [word, *(f"{word[:k]}~" for k in BEGINNINGS if len(word) > k)]
 
 
-def features(word: str) -> list[str]:
-    return [word, *(f"{word[:k]}~" for k in (4, 5, 6) if len(word) > k)]
+def heads(found) -> set[str]:
+    """The first four letters of features: a word of another beginning has none of them."""
+    return {f[:4] for f in found}
 
 
 class Words:
-    """The distinct words of texts: a plain one is itself, another token is its word and what that is restored to, in one string."""
+    """The distinct words of texts: a token is its word and what that is restored to, in one string."""
 
     def __init__(self, channel: Channel):
         self.channel = channel
-        self.memo = Memo(lambda token: " ".join(dict.fromkeys(channel.words(token))), REMEMBERED)
+        self.memo = Memo(self._words, REMEMBERED)
 
-    def of(self, text: str) -> tuple[set[str], set[str]]:
-        plain, other = plain_words(text)
-        found = set(map(self.memo.__getitem__, other))
+    def _words(self, token: str) -> str:
+        return " ".join(dict.fromkeys(self.channel.words(token)))
+
+    def of(self, text: str) -> set[str]:
+        found = set()
+        for token in set(text.lower().split()):
+            plain = token.isalpha() and not RUN.search(token)
+            found.add(token if plain else self.memo[token])
         found.update(" ".join(dict.fromkeys(w)) for w in self.channel.spaced(text))
         found.discard("")
-        return plain - found, found
+        return found
 
 
 class Scorer:
-    """Evidence of words: the sum of the strongest weights."""
+    """Evidence of words: the sum of the strongest weights.
 
-    def __init__(self, weights: dict[str, float]):
-        self.weights = weights
-        #: The first letters of every feature: few words begin like one.
-        self.starts = {f[:4].rstrip("~") for f in weights}
-        self.memo = Memo(lambda words: max(map(self.weight, words.split(" "))), REMEMBERED)
+    Most tokens weigh nothing; they are remembered as a set that a text's tokens are compared with at once. A word of
+    letters is not decoded if no path of it, all of which are the same letters but for repeats, can begin like a feature.
+    """
+
+    def __init__(self, channel: Channel, weights: dict[str, float]):
+        self.channel, self.weights = channel, weights
+        #: The first four letters of every feature, and the same without repeats; of word beginnings shorter than that, all.
+        self.heads = heads(weights)
+        single = {RUNS.sub(r"\1", f) for f in weights}
+        self.single = {f[:4] for f in single if "~" not in f[:4]} | {f.rstrip("~") for f in single if "~" in f[:4]}
+        self.short = {f.rstrip("~") for f in single if "~" in f[:4]}
+        self.nothing: set[str] = set()
+        self.before: set[str] = set()
+        self.hopeful = Memo(self._hopeful, REMEMBERED)
+        self.memo = Memo(self._judged, REMEMBERED)
+
+    def _hopeful(self, start: str) -> bool:
+        """Whether a word that begins with these letters, none of them twice in a row, may be or become a feature's."""
+        return start in self.single or any(start[:k] in self.short for k in (1, 2, 3))
+
+    def may_weigh(self, word: str) -> bool:
+        start = word[:4]
+        return self.hopeful[RUNS.sub(r"\1", word)[:4] if RUN.search(start) else start]
 
     def weight(self, word: str) -> float:
+        if word[:4] not in self.heads:
+            return 0.0
         return max((self.weights.get(f, 0.0) for f in features(word)), default=0.0)
 
-    def evidence(self, plain: set[str], other: set[str]) -> tuple[float, int]:
-        starts = self.starts
-        found = [w for w in [self.weight(x) for x in plain if x[:4] in starts] if w]
-        found += [w for w in map(self.memo.__getitem__, other) if w]
+    def _judged(self, token: str) -> tuple[str, float]:
+        words = list(dict.fromkeys(self.channel.words(token)))
+        return " ".join(words), max(map(self.weight, words), default=0.0)
+
+    def weighed(self, words: set[str]) -> tuple[float, int]:
+        """Evidence of words that are restored already."""
+        found = [w for w in (max(map(self.weight, x.split(" "))) for x in words) if w]
         return sum(nlargest(STRONGEST, found)), len(found)
 
+    def evidence(self, text: str) -> tuple[float, int]:
+        found: dict[str, float] = {}
+        for token in set(text.lower().split()) - self.nothing - self.before:
+            word = token if token.isalpha() else token.strip(EDGE)
+            if word.isalpha() and (word is token or token.lstrip(OPENING)[:1] not in LOOKALIKES) and not self.may_weigh(word):
+                self._nothing(token)
+                continue
+            words, weight = self.memo[token]
+            if weight:
+                found[words] = weight
+            else:
+                self._nothing(token)
+        for words in self.channel.spaced(text):
+            weight = max(map(self.weight, words))
+            if weight:
+                found[" ".join(dict.fromkeys(words))] = weight
+        return sum(nlargest(STRONGEST, found.values())), len(found)
+
+    def _nothing(self, token: str) -> None:
+        if len(token) <= self.memo.longest:
+            if len(self.nothing) >= UNMARKED:
+                self.before, self.nothing = self.nothing, set()
+            self.nothing.add(token)
+
 
 def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
@@ -314,7 +388,7 @@ def restored(rows: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 part = batch.slice(lo, 1024)
-                found = [sorted(set.union(*words.of(t))) for t in part.column(1).to_pylist()]
+                found = [list(words.of(t)) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.string()))], ["toxic", "words"])
 
     return rows.select((F.col("toxic") > 0).cast("int").alias("toxic"), "text").mapInArrow(run, "toxic int, words array<string>")
@@ -323,16 +397,19 @@ def restored(rows: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame
 def _feature_documents(rows: DataFrame, only: frozenset[str] | None) -> DataFrame:
     """``feature, n``: in how many of ``rows`` each feature occurs, or each one of ``only``."""
 
-    def run(batches):
-        def of(words):
-            found = dict.fromkeys(f for w in words.split(" ") for f in features(w))
-            return tuple(found if only is None else (f for f in found if f in only))
+    starts = only and {k: {f[:-1] for f in only if len(f) == k + 1 and f.endswith("~")} for k in BEGINNINGS}
 
-        memo = Memo(of, REMEMBERED)
+    def run(batches):
         n: Counter[str] = Counter()
         for batch in batches:
-            for words in batch.column(0).to_pylist():
-                n.update({f for w in words for f in memo[w]})
+            for found in batch.column(0).to_pylist():
+                words = set(" ".join(found).split(" "))
+                if only is None:
+                    n.update({f for w in words for f in features(w)})
+                else:
+                    n.update(only & words)
+                    for k in BEGINNINGS:
+                        n.update([f"{x}~" for x in starts[k] & {w[:k] for w in words if len(w) > k}])
                 if len(n) > COUNTED:
                     yield pa.RecordBatch.from_pydict({"feature": list(n), "n": list(n.values())})
                     n.clear()
@@ -358,9 +435,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> dict:
     weights = {f: w for f, w in weights.items() if w >= LEAST_WEIGHT}
 
     def judged(batches):
-        scorer = Scorer(weights)
+        scorer = Scorer(Channel(model), weights)
         for batch in batches:
-            found = [scorer.evidence(set(), set(words))[0] for words in batch.column(1).to_pylist()]
+            found = [scorer.weighed(set(words))[0] for words in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], ["y", "evidence"])
 
     binned = rows.mapInArrow(judged, "y int, evidence double").groupBy(F.round("evidence", 1).alias("x"), "y").agg(F.count("*").alias("n"))
@@ -384,9 +461,9 @@ def evidence(text, fitted: dict):
 
     @F.arrow_udf("struct<evidence: double, n_flagged: long>")
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        words, scorer = Words(Channel(model)), Scorer(weights)
+        scorer = Scorer(Channel(model), weights)
         for batch in batches:
-            found = [scorer.evidence(*words.of(t)) for t in batch.to_pylist()]
+            found = [scorer.evidence(t) for t in batch.to_pylist()]
             yield pa.StructArray.from_arrays([pa.array([e for e, _ in found], pa.float64()), pa.array([n for _, n in found], pa.int64())], ["evidence", "n_flagged"])
 
     return of(F.coalesce(text, F.lit("")))

@@ -416,12 +416,34 @@ def test_evidence_is_the_same_for_learning_and_scoring(spark, channel):
     rnd = random.Random(2)
     tokens = ["stupid", "Stupid,", "st.u.pid", "idiot", "1d10t", "garden", "a s s", "(window)", "pee", "don't", "..."]
     weights = {"stupid": 4.0, "idio~": 3.5, "ass": 3.0, "gard~": 3.2, "wind~": 3.1, "stup~": 3.9}
-    words, scorer = toxicity.Words(channel), toxicity.Scorer(weights)
+    words, scorer = toxicity.Words(channel), toxicity.Scorer(channel, weights)
     for _ in range(60):
         text = " ".join(rnd.choice(tokens) for _ in range(rnd.randint(0, 9)))
-        plain, other = words.of(text)
-        expected = sorted((max((weights.get(f, 0) for w in x.split(" ") for f in toxicity.features(w)), default=0) for x in plain | other), reverse=True)
-        assert scorer.evidence(plain, other)[0] == pytest.approx(sum(expected[:4])) == scorer.evidence(set(), plain | other)[0]
+        found = words.of(text)
+        expected = sorted((max((weights.get(f, 0) for w in x.split(" ") for f in toxicity.features(w)), default=0) for x in found), reverse=True)
+        assert scorer.evidence(text) == scorer.weighed(found) == (pytest.approx(sum(expected[:4])), sum(x > 0 for x in expected))
+
+
+def test_no_word_that_may_weigh_is_left_out(channel):
+    rnd = random.Random(11)
+    weights = {w: 1.0 for w in ("as", "ass", "aab", "stup~", "pees~", "baaa~", "loos~", "x")}
+    scorer = toxicity.Scorer(channel, weights)
+    for _ in range(20_000):
+        word = "".join(rnd.choice("abesx") for _ in range(rnd.randint(1, 8))) if rnd.random() < 0.8 else rnd.choice(["sttuuppiid", "loosser", "peess", "aasss", "looos"])
+        paths = {word}
+        for at in range(len(word) - 1, 0, -1):
+            paths |= {p[:at] + p[at + 1 :] for p in paths if p[at] == word[at] == word[at - 1]}
+        if any(f in weights for p in paths for f in toxicity.features(p)):
+            assert scorer.may_weigh(word), word
+
+
+def test_words_with_one_repeated_letter_are_decoded_as_by_the_lattice(channel):
+    rnd = random.Random(12)
+    for _ in range(2000):
+        word = "".join(rnd.choice("stupidokwn") for _ in range(rnd.randint(2, 9)))
+        at = rnd.randrange(len(word))
+        word = word[: at + 1] + word[at:]
+        assert channel.alphabetic(word) == channel.decode(word)
 
 
 def test_pipeline_stage_by_stage(spark):
