@@ -40,7 +40,7 @@ WIDTH = 5
 #: Similarity as a fraction.
 PART, WHOLE = 3, 4
 #: Shingles of a mapper's batch, of a column block and of a row block; classes of a row block.
-BATCH, COLUMNS, ROW_SHINGLES, ROW_CLASSES = 1_000_000, 2_000_000, 2_000_000, 512
+BATCH, COLUMNS, ROW_SHINGLES, ROW_CLASSES = 1_000_000, 1_000_000, 500_000, 512
 #: Documents whose counts are summed together.
 BUCKET = 20_000
 NULL_ID = -(2**63)
@@ -112,10 +112,12 @@ def shared_counts(docs: DataFrame, blocks: int, buckets: int) -> DataFrame:
             twice[:-1] |= same[1:]
             repeated = np.empty(len(line), bool)
             repeated[order] = twice
+            del order, same
             own = np.bincount(owner[repeated], minlength=len(ids))
             some = np.flatnonzero(own)
             rows = [(turn % blocks, ids[some].tobytes(), own[some].astype("uint32").tobytes(), b"", b"")]
-            once, common = ~repeated, line[twice & ~same]
+            once, common = ~repeated, np.unique(line[twice])
+            del line, twice
             for kind, values, who in ((0, keys[once], owner[once]), (1, common, None)):
                 block = ((values >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
                 place = np.argsort(block, kind="stable")

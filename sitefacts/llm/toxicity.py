@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitefacts.llm.common import Memo, cut, texts
+from sitefacts.llm.common import Memo, cut, small_batches, texts
 
 #: Bound on labelled training rows.
 MAX_LABELLED = 200_000
@@ -40,7 +40,7 @@ PREDICT_AT = 0.3
 #: Letters of the word beginnings that are weighted.
 BEGINNINGS = (4, 5, 6)
 #: Restored tokens a task remembers, tokens without weight it remembers, and features it counts before it hands them on.
-REMEMBERED, UNMARKED, COUNTED = 80_000, 200_000, 160_000
+REMEMBERED, UNMARKED, COUNTED = 50_000, 150_000, 100_000
 
 #: Characters and the letters they imitate.
 LOOKALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "(": "c", "¡": "i"}
@@ -340,7 +340,8 @@ class Scorer:
 
     def weighed(self, words: set[str]) -> tuple[float, int]:
         """Evidence of words that are restored already."""
-        found = [w for w in (max(map(self.weight, x.split(" "))) for x in words) if w]
+        hopeful = [x for x in words if x[:4] in self.heads or " " in x]
+        found = [w for w in (max(map(self.weight, x.split(" "))) for x in hopeful) if w]
         return sum(nlargest(STRONGEST, found)), len(found)
 
     def evidence(self, text: str) -> tuple[float, int]:
@@ -486,4 +487,5 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, fitted: dict) -> DataFrame:
     """Rows of ``docs``, all columns as they are, without those predicted toxic; judged in the same pass."""
+    small_batches(docs.sparkSession)
     return docs.where(probability(evidence(F.col("text"), fitted)["evidence"], fitted) < PREDICT_AT)
