@@ -74,12 +74,14 @@ def lines_of(text):
 
 
 def first_wins(items, key_of, most: int | None = None):
-    """Items of an array whose key was not seen before them, in order; items with a blank key go."""
-    keyed = F.transform(items, lambda x: F.struct(key_of(x).alias("k"), x.alias("v")))
-    kept = F.aggregate(
-        keyed,
-        F.struct(F.expr("cast(array() as array<string>)").alias("keys"), F.slice(F.transform(keyed, lambda x: x["v"]), 1, 0).alias("out")),
-        lambda a, x: F.when(F.array_contains(a["keys"], x["k"]) | (x["k"] == ""), a).otherwise(F.struct(F.array_append(a["keys"], x["k"]).alias("keys"), F.array_append(a["out"], x["v"]).alias("out"))),
-        lambda a: a["out"],
-    )
-    return kept if most is None else F.slice(kept, 1, most)
+    """Items of an array whose key was not seen before them, in order; items with a blank key go.
+
+    Equal keys are found by sorting keys with their places, so a long array costs no more than its sort.
+    """
+    def kept(values):
+        places = F.array_sort(F.transform(values, lambda x, i: F.struct(key_of(x).alias("k"), i.alias("i"))))
+        first = lambda p: F.filter(p, lambda x, n: (x["k"] != "") & ((n == 0) | (F.get(p, n - 1)["k"] != x["k"])))
+        return F.transform(F.array_sort(F.transform(let(places, first), lambda x: x["i"])), lambda i: F.get(values, i))
+
+    found = let(items, kept)
+    return found if most is None else F.slice(found, 1, most)

@@ -48,8 +48,26 @@ def image_key(url):
     return F.lower(F.regexp_replace(url, "[?#].*$", ""))
 
 
+_DOTS = r"(?i)^https?://[^/?#]*[^?#]*/[.]{1,2}(/|[?#]|\z)"
+_SPLIT = r"^([^:/?#]+://[^/?#]*)([^?#]*)((?s:.*))\z"
+
+
+def without_dots(url):
+    """``url`` with the segments ``.`` and ``..`` of its path worked out."""
+
+    def of(u):
+        segments = F.split(F.regexp_extract(u, _SPLIT, 2), "/")
+        add = lambda held, x: F.when(x == ".", held).when(x == "..", F.slice(held, 1, F.greatest(F.lit(1), F.size(held) - 1))).otherwise(F.array_append(held, x))
+        held = F.aggregate(segments, F.expr("cast(array() as array<string>)"), add)
+        closed = F.when(F.element_at(segments, -1).isin(".", ".."), "/").otherwise("")
+        path = F.concat(F.array_join(held, "/"), closed)
+        return F.concat(F.regexp_extract(u, _SPLIT, 1), path, F.regexp_extract(u, _SPLIT, 3))
+
+    return F.when(url.rlike(_DOTS), of(url)).otherwise(url)
+
+
 def resolve(href, page):
-    """``href`` as an absolute url of ``page``; dot segments stay as they are."""
+    """``href`` as an absolute url of ``page``, dot segments worked out."""
 
     def of(href):
         base, path = origin(page), F.coalesce(F.nullif(part(page, "PATH"), F.lit("")), F.lit("/"))
@@ -62,7 +80,7 @@ def resolve(href, page):
             .otherwise(F.concat(base, F.regexp_replace(path, "[^/]*$", ""), href))
         )
 
-    return let(trim(href), of)
+    return let(let(trim(href), of), without_dots)
 
 
 def is_asset(url):

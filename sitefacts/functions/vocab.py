@@ -86,7 +86,7 @@ LINK_PRIORITY = "amenit|room|suite|accommodation|dining|restaurant|service|polic
 LINK_KEY = "contact|location|about|dining|eat|menu|room|suite|amenit|polic"
 SEED_PATHS = ("/rooms", "/suites", "/accommodations", "/amenities", "/dining", "/restaurants", "/restaurant", "/menu", "/services", "/policies", "/contact", "/location", "/gallery", "/meetings", "/events", "/spa", "/offers")
 ASSET = r"\.(pdf|zip|xml|rss|jpg|jpeg|png|webp|gif|svg|css|js|ico)(\?|$)"
-SITEMAP_ASSET = r"\.(pdf|zip|xml|jpg|jpeg|png|webp|gif|svg|css|js)(\?|$)"
+SITEMAP_ASSET = r"\.(pdf|zip|xml|jpg|jpeg|png|gif|webp|svg|css|js)(\?|$)"
 PHOTO = r"\.(jpg|jpeg|png|webp|gif)(\?|$)"
 NOT_PHOTO = "/(sprite|icon|logo-16)"
 IMAGE_CATEGORIES = (
@@ -108,6 +108,7 @@ UNREADABLE_PUBLIC = "The site looks like a hotel website, but its public pages c
 
 # Fixed limits.
 MAX_PAGES, MAX_DEPTH, MAX_SITEMAP = 90, 7, 80
+VERIFY_CUT = 18_000
 MAX_CONTACTS, MAX_ROOMS, MAX_VENUES, MAX_MENU = 5, 20, 12, 20
 POLICY_GROW, POLICY_CUT, POLICY_LEAST, POLICY_SENTENCE = 520, 500, 18, 80
 DINING_LINES, DINING_LONGEST, DINING_BLOCKS, DINING_USED = 24, 260, 10, 6

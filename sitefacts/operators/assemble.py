@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitefacts.functions import checks, vocab
@@ -15,9 +15,12 @@ from sitefacts.sources.shared import cut
 def extract(site_pages: DataFrame, as_of: str) -> tuple[DataFrame, DataFrame]:
     """``site_id, data`` and ``site_id, path, confidence`` of ``site, page_seq, url, html``.
 
-    Page-level work is done page by page; a site's own row then holds one text, bounded by the pages of a site.
+    Of a site, its first ``MAX_PAGES`` pages count, as in a crawl. Page-level work is done page by page; a site's own row
+    then holds one text, that of these pages.
     """
     html = F.col("html")
+    place = F.row_number().over(Window.partitionBy("site").orderBy("page_seq"))
+    site_pages = cut(site_pages.withColumn("__place", place).where(F.col("__place") <= vocab.MAX_PAGES).drop("__place"))
     parsed = cut(site_pages.select("site", "page_seq", "url", pages.visible_text(html).alias("text"), pages.title_of(html).alias("title"), pages.og(html).alias("og")))
     texts = parsed.select("site", "page_seq", "text")
     titled = parsed.select("site", "page_seq", "title", "og.*")

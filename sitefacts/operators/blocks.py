@@ -9,8 +9,8 @@ from sitefacts.functions.rx import all_of, first_of, first_wins, has, let, lines
 from sitefacts.operators.facts import venue_is_weak
 
 
-def _grown(lines, start, stops, ends, most_lines=None):
-    """The block that begins at line ``start``: lines follow until ``stops(line, chars)``; ``ends(line, chars)`` closes it after a line."""
+def _grown(lines, start, stops, ends, most_lines: int):
+    """The block that begins at line ``start``, of ``most_lines`` at most: lines follow until ``stops(line, chars)``; ``ends(line, chars)`` closes it after a line."""
     head = F.get(lines, start)
     begin = F.struct(F.lit(False).alias("done"), F.array(head).alias("lines"), F.length(head).alias("chars"))
 
@@ -20,7 +20,7 @@ def _grown(lines, start, stops, ends, most_lines=None):
         stopped = F.struct(F.lit(True).alias("done"), state["lines"].alias("lines"), state["chars"].alias("chars"))
         return F.when(state["done"], state).when(stops(line, state["chars"]), stopped).otherwise(longer)
 
-    rest = F.slice(lines, start + 2, F.greatest(F.lit(0), F.size(lines) - start - 1) if most_lines is None else F.lit(most_lines - 1))
+    rest = F.slice(lines, start + 2, F.lit(most_lines - 1))
     return F.aggregate(rest, begin, add, lambda s: s["lines"])
 
 
@@ -45,12 +45,13 @@ def policy_block(text, label: str, signal: str):
     """``value, confidence`` of the first block under a label line that says something about the matter; blank and 0 if none."""
     stops = lambda x, chars: (chars >= vocab.POLICY_GROW) | (has(x, vocab.SECTION_STOP) & ~has(x, label)) | (F.length(x) < 3)
     ends = lambda x, chars: x.rlike(r"[.!?]\z") & (chars > vocab.POLICY_SENTENCE)
+    most = vocab.POLICY_GROW // 4 + 2  # a line that is added has three characters or more, and one joins it
 
     def told(grown):
         return F.struct(F.left(policy_text(grown), F.lit(vocab.POLICY_CUT)).alias("value"), F.when(F.size(grown) > 1, 0.62).otherwise(0.48).alias("confidence"))
 
     def among(lines):
-        return F.transform(_starts(lines, label), lambda start: let(_grown(lines, start, stops, ends), told))
+        return F.transform(_starts(lines, label), lambda start: let(_grown(lines, start, stops, ends, most), told))
 
     found = F.filter(let(lines_of(text), among), lambda b: (F.length(b["value"]) >= vocab.POLICY_LEAST) & has(b["value"], signal))
     return F.coalesce(F.get(found, F.lit(0)), F.struct(F.lit("").alias("value"), F.lit(0.0).alias("confidence")))

@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 
 from sitefacts.functions import checks, vocab
 from sitefacts.functions.rx import blank, first_wins, has, trim
+from sitefacts.sources.shared import cut
 
 _SCRIPT = r"""(?is)<script\b[^>]*type=["']application/ld\+json["'][^>]*>(.*?)</script\s*>"""
-#: Levels of arrays and graphs that are opened.
-LEVELS = 3
 
 
 def scripts(pages: DataFrame) -> DataFrame:
@@ -19,12 +18,22 @@ def scripts(pages: DataFrame) -> DataFrame:
 
 
 def nodes(bodies: DataFrame) -> DataFrame:
-    """``site, page_seq, script_no, at, node``: roots with arrays opened and graphs in place of what holds them; bad JSON gives none."""
+    """``site, page_seq, script_no, at, node``: roots with arrays opened and graphs in place of what holds them, at any depth.
+
+    Each round opens what the round before gave; the rounds end when nothing opens any more. Bad JSON gives no node.
+    """
     rows = bodies.select("site", "page_seq", "script_no", F.expr("cast(array() as array<int>)").alias("at"), F.try_parse_json("body").alias("node")).where("node is not null")
-    for _ in range(LEVELS):
-        parts = F.expr("coalesce(try_variant_get(node, '$', 'array<variant>'), try_variant_get(node, '$[\"@graph\"]', 'array<variant>'), array(coalesce(try_variant_get(node, '$[\"@graph\"]', 'variant'), node)))")
-        rows = rows.select("site", "page_seq", "script_no", "at", F.posexplode(parts).alias("i", "node")).withColumn("at", F.array_append("at", F.col("i"))).drop("i")
-    return rows
+    graph = "try_variant_get(node, '$[\"@graph\"]', 'variant')"
+    parts = F.expr(f"coalesce(try_variant_get(node, '$', 'array<variant>'), try_variant_get(node, '$[\"@graph\"]', 'array<variant>'), if({graph} is null, null, array({graph})))")
+    done = None
+    while True:
+        rows = cut(rows.withColumn("parts", parts))
+        whole = rows.where("parts is null").drop("parts")
+        done = whole if done is None else done.unionByName(whole)
+        rows = rows.where("parts is not null")
+        if rows.isEmpty():
+            return done
+        rows = rows.select("site", "page_seq", "script_no", "at", F.posexplode("parts").alias("i", "node")).withColumn("at", F.array_append("at", F.col("i"))).drop("i")
 
 
 def text_at(path: str, node: str = "node"):

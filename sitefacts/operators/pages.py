@@ -152,10 +152,12 @@ def seeds(sites: DataFrame, sitemap: DataFrame) -> DataFrame:
 def site_scores(sites: DataFrame, texts: DataFrame, structured: DataFrame) -> DataFrame:
     """``site, score, accepted, marketplace`` of ``site, url``, page texts and structured hints.
 
-    Signals are counted page by page and summed, so a site of any size needs no joined text.
+    Signals are counted page by page, in the first ``VERIFY_CUT`` characters of each, and summed, so a site of any size
+    needs no joined text.
     """
     counts = {"identity": vocab.IDENTITY, "operations": vocab.OPERATIONS, "detail": vocab.DETAIL, "noise": vocab.NOT_LODGING}
-    each = texts.select("site", *(count_of(F.col("text"), p).alias(c) for c, p in counts.items())).groupBy("site").agg(*(F.sum(c).alias(c) for c in counts))
+    text = F.left("text", F.lit(vocab.VERIFY_CUT))
+    each = texts.select("site", *(count_of(text, p).alias(c) for c, p in counts.items())).groupBy("site").agg(*(F.sum(c).alias(c) for c in counts))
     rows = sites.join(each, "site", "left").join(structured, "site", "left").fillna(0, list(counts)).fillna(False, ["has_name", "has_address", "has_phone"])
     host = swap(urls.host(F.col("url")), r"^www\.", "")
     points = lambda when, n: F.when(when, n).otherwise(0)

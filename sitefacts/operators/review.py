@@ -52,10 +52,10 @@ def without_errors(submissions: DataFrame) -> DataFrame:
     return submissions.join(issues(submissions).where("severity = 'error'").select("site_id").distinct(), "site_id", "left_anti")
 
 
-def issues_of(issues_: DataFrame, paths: DataFrame) -> DataFrame:
-    """``path, field, severity``: the issues at or below each path. Paths are the bounded list of form fields."""
+def issues_of(issues_: DataFrame, paths: list[str]) -> DataFrame:
+    """``path, field, severity``: the issues at or below each of the form's field paths."""
     below = (F.col("field") == F.col("path")) | F.expr("startswith(field, path || '.')")
-    return issues_.join(F.broadcast(paths), below).select("path", "field", "severity")
+    return issues_.select("field", "severity", F.explode(F.array(*map(F.lit, paths))).alias("path")).where(below).select("path", "field", "severity")
 
 
 def merged_contacts(primary, staff, default: str, by_digits: bool):

@@ -141,7 +141,7 @@ def site_verify_score(spark, d):
     return pages.site_scores(sites, page_texts(spark, d), none)
 
 
-_SUMS = ", ".join(f"sum({twin.count('text', p)}) AS {n}" for n, p in (("i", vocab.IDENTITY), ("o", vocab.OPERATIONS), ("de", vocab.DETAIL), ("no", vocab.NOT_LODGING)))
+_SUMS = ", ".join(f"sum({twin.count(f'left(text, {vocab.VERIFY_CUT})', p)}) AS {n}" for n, p in (("i", vocab.IDENTITY), ("o", vocab.OPERATIONS), ("de", vocab.DETAIL), ("no", vocab.NOT_LODGING)))
 SITE_VERIFY_SCORE = f"""WITH {_TEXTS}, c AS (SELECT site, {_SUMS} FROM t GROUP BY site),
  x AS (SELECT site, (CASE WHEN {twin.has("regexp_replace(site, '^www\\.', '')", vocab.IDENTITY)} THEN 2 ELSE 0 END + least(5, i) + least(5, o) + least(4, de) - CASE WHEN no > 0 THEN 3 ELSE 0 END)::BIGINT AS score, {twin.has('site', vocab.MARKETPLACE)} AS marketplace FROM c)
 SELECT site, score, score >= 7 AND NOT marketplace AS accepted, marketplace FROM x"""

@@ -8,7 +8,7 @@ from sitefacts.functions import checks, urls, vocab
 from sitefacts.functions.rx import first_wins, key, squeeze
 from sitefacts.operators import blocks, contacts, crawling, facts, images, jsonld, pages, report, review
 from sitefacts.plans import twin
-from sitefacts.plans.fixtures import frame, sql
+from sitefacts.plans.fixtures import TABLES, frame, sql
 from sitefacts.sources import files
 
 _V = f"(SELECT id, v, {twin.trim('v')} AS t FROM {sql('fx_values')})"
@@ -323,7 +323,7 @@ CONTACT_CODEC = "SELECT * FROM (VALUES (0::BIGINT, 4, 'Front desk | (415) 555-01
 
 
 def issue_prefix(spark, d):
-    return review.issues_of(frame(spark, "fx_issues"), frame(spark, "fx_paths"))
+    return review.issues_of(frame(spark, "fx_issues"), [path for (path,) in TABLES["fx_paths"][1]])
 
 
 ISSUE_PREFIX = f"SELECT path, field, severity FROM {sql('fx_issues')} JOIN {sql('fx_paths')} ON field = path OR starts_with(field, path || '.')"

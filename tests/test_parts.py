@@ -104,3 +104,60 @@ def test_first_submission_wins_in_a_stream(spark, tmp_path):
     assert sorted((r.site_id, r.status, r.serves_final) for r in reviews.status(sites, done).collect()) == [("a", "completed", True), ("z", "pending_review", False)]
     batch = review.first_submissions(spark.createDataFrame([("a", 2), ("a", 1)], "site_id string, submitted_at int"))
     assert batch.first().submitted_at == 1
+
+
+@pytest.mark.parametrize(
+    "href, expected",
+    [
+        ("../e/./f?x=../y#./z", "http://a.test/c/e/f?x=../y#./z"), ("../../../x", "http://a.test/x"), ("..", "http://a.test/c/"), (".", "http://a.test/c/d/"), ("/a/b/../c/", "http://a.test/a/c/"),
+        ("./", "http://a.test/c/d/"), ("a..b/.c", "http://a.test/c/d/a..b/.c"), ("https://o.test/p/../q", "https://o.test/q"), ("mailto:a@b/../c", "mailto:a@b/../c"), ("//o.test/./p", "http://o.test/p"),
+    ],
+)
+def test_dot_segments_are_worked_out(spark, href, expected):
+    assert one(spark, urls.resolve(F.lit(href), F.lit("http://a.test/c/d/page?q"))) == expected
+
+
+def test_structured_data_opens_at_any_depth(spark):
+    import json
+
+    from sitefacts.operators import jsonld
+
+    node, deep = {"@type": "Hotel", "name": "Deep Inn"}, {"@type": "Hotel", "name": "First Inn"}
+    for k in range(9):
+        node = [node] if k % 2 else {"@graph": [{"@type": "Thing"}, node]}
+    bodies = [("a", 0, 0, json.dumps(node)), ("a", 1, 0, json.dumps(deep)), ("b", 0, 0, "{bad"), ("b", 0, 1, json.dumps({"@graph": {"@graph": {"@type": "Hotel", "name": "One Graph"}}})), ("c", 0, 0, None)]
+    found = jsonld.nodes(spark.createDataFrame(bodies, "site string, page_seq long, script_no int, body string"))
+    assert found.where("site = 'a'").count() == 5 + 1 + 1
+    assert {r.site: r.name for r in jsonld.hints(found).collect()} == {"a": "Deep Inn", "b": "One Graph"}
+    assert jsonld.nodes(spark.createDataFrame([], "site string, page_seq long, script_no int, body string")).count() == 0
+
+
+def test_scripts_of_structured_data_are_found(spark):
+    from sitefacts.operators import jsonld
+
+    html = """<script type="application/ld+json">{"a": 1}</script><SCRIPT id=x TYPE='application/ld+json' >
+ [2]</script ><script>var x = '{}';</script><script type="application/json">{}</script>"""
+    rows = jsonld.scripts(spark.createDataFrame([("s", 3, html), ("s", 4, None), ("t", 0, "")], "site string, page_seq long, html string")).collect()
+    assert [(r.page_seq, r.script_no, r.body.strip()) for r in rows] == [(3, 0, '{"a": 1}'), (3, 1, "[2]")]
+
+
+@given(st.lists(st.sampled_from(["", "a", "b", "A", "c"]), max_size=12))
+@settings(max_examples=15, deadline=None)
+def test_first_of_equal_keys_wins_in_order(spark, items):
+    seen, expected = set(), []
+    for k, x in enumerate(items):
+        if x and x.lower() not in seen:
+            seen.add(x.lower())
+            expected.append((x, k))
+    given_ = F.lit(None).cast("array<struct<v:string,k:int>>") if items is None else F.expr("cast(array() as array<struct<v:string,k:int>>)") if not items else F.array(*(F.struct(F.lit(x).alias("v"), F.lit(k).alias("k")) for k, x in enumerate(items)))
+    assert [tuple(x) for x in one(spark, first_wins(given_, lambda x: F.lower(x["v"])))] == expected
+
+
+def test_verification_reads_the_first_characters_of_a_page(spark):
+    from sitefacts.functions import vocab
+
+    far = "x " * (vocab.VERIFY_CUT // 2) + "hotel resort suites check-in reservations"
+    sites = spark.createDataFrame([("a", "https://plain.test/")], "site string, url string")
+    none = sites.select("site", *(F.lit(False).alias(c) for c in ("has_name", "has_address", "has_phone")))
+    score = lambda text: pages.site_scores(sites, spark.createDataFrame([("a", 0, text)], "site string, page_seq long, text string"), none).first().score
+    assert score(far) == 0 < score(far[4:200] + far[-50:])
