@@ -40,7 +40,7 @@ def stream_ids(vocab: Vocabulary, chunks: Iterable[str]) -> Iterator[int]:
 class Codec:
     """Encodes whole texts to packed ids and back, one per Python worker."""
 
-    def __init__(self, vocab: Vocabulary, remember: int = 300_000):
+    def __init__(self, vocab: Vocabulary, remember: int = 150_000):
         self.vocab = vocab
         self.code = "H" if vocab.dtype.itemsize == 2 else "I"
         self.marked = Memo(lambda word: self._ids(SPACE + word), remember)
