@@ -109,3 +109,22 @@ def test_rows_leave_blocks_only_when_no_pair_can_reach_the_bound():
                 low, high = sorted((expected[i], expected[j]))
                 expected = [low if x == high else x for x in expected]
     assert label == expected
+
+
+@pytest.mark.parametrize("one_task", [0, 40, 500_000])
+def test_components_in_rounds_and_in_one_task(spark, monkeypatch, one_task):
+    from sitefacts.llm import components
+
+    monkeypatch.setattr(components, "ONE_TASK", one_task)
+    rnd = random.Random(one_task)
+    nodes = [rnd.randrange(-(2**63), 2**63 - 1) for _ in range(120)]
+    edges = [(nodes[k], nodes[k + 1]) for k in range(40)] + [(nodes[50], nodes[k]) for k in range(51, 90)] + [tuple(rnd.sample(nodes[90:], 2)) for _ in range(15)]
+    label = {x: x for e in edges for x in e}
+    for _ in edges:
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    rows = [(a, b, "x") for a, b in edges + edges[:9]] + [(None, 1, "x"), (7, 7, "x")]
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(rows, "a long, b long, label string")
+    assert sorted(map(tuple, components.components(df).collect())) == sorted(label.items())
+    assert components.components(df.where("a = 7")).collect() == []
