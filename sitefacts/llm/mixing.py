@@ -88,24 +88,30 @@ def raked_cells(cells: DataFrame, targets: dict[str, dict[str, float]] | None =
     """
     cells = cut(cells)
     few = cells.count() <= ONE_TASK
+    cells = _together(cells, few)
     out = cells.withColumn("w", F.col("tokens") * F.lit(float(budget)))
     for dim, column in zip(DIMS, _CELL):
         given = {k: float(v) for k, v in ((targets or {}).get(dim) or {}).items()}
         out = out.join(value_targets(cells, dim, column, given, budget).withColumnRenamed("t", f"t_{dim}"), column)
-    out = cut(out.coalesce(1) if few else out)
+    out = _together(cut(out), few)
     sums = {dim: F.sum("w").over(Window.partitionBy(column)) for dim, column in zip(DIMS, _CELL)}
     for _ in range(-(-rounds // LOOK)):
         for _ in range(LOOK):
             for dim in DIMS:
                 fitted = F.col("w") * F.col(f"t_{dim}") / F.nullif(sums[dim], F.lit(0.0))
                 out = out.withColumn("w", F.least(F.col("tokens").cast("double"), F.coalesce(fitted, F.lit(0.0))))
-        out = cut(out.coalesce(1) if few else out)
+        out = _together(cut(out), few)
         if _error(out, sums, budget) <= TOLERANCE:
             break
     chance = F.when(F.col("tokens") > 0, F.col("w") / F.nullif(F.col("tokens"), F.lit(0))).otherwise(F.lit(float(budget)))
     return out.withColumn("probability", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), chance)), 9))
 
 
+def _together(cells: DataFrame, few: bool) -> DataFrame:
+    """``few`` cells as one partition: read back from a cut they say nothing of how they lie, and each window would shuffle them."""
+    return cells.coalesce(1) if few else cells
+
+
 def _error(cells: DataFrame, sums: dict, budget: float) -> float:
     """The largest difference between a value's tokens and its target, as a part of the budget."""
     gaps = cells.select("tokens", *(F.abs(sums[dim] - F.col(f"t_{dim}")).alias(dim) for dim in DIMS))
