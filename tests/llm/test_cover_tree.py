@@ -79,3 +79,40 @@ def test_tree_covers_its_points_and_prunes(seed, monkeypatch):
     exact = np.sort(tree.points @ tree.points.T, axis=1)[:, -3:]
     assert (np.sort(search.score.reshape(-1, 3), axis=1) == exact).all()
     assert sum(met) < 0.7 * len(points) ** 2
+
+
+def test_many_levels_answer_like_all_pairs(spark, monkeypatch):
+    rnd = random.Random(12)
+    rows = list(enumerate(clustered(rnd, 700, 4))) + [(i, [rnd.gauss(0, 1) for _ in range(rnd.randrange(1, 6))]) for i in range(700, 900)]
+    for name, value in {"DATA_BLOCK": 20, "QUERY_BLOCK": 5, "CELLS": 3, "LEVELS": 3, "SAMPLE": 40, "PLACED": 64, "TOGETHER": 2}.items():
+        monkeypatch.setattr(cover_tree, name, value)
+    assert run(spark, rows) == brute(rows)
+
+
+def test_equal_scores_beyond_k_go_to_the_smaller_ids(spark):
+    # Different vectors of one score with every query: only the ids decide.
+    rows = [(i, [1.0, float(i % 7), -float(i % 7)]) for i in range(1, 40)] + [(50, [1.0, 1.0, 1.0]), (100, [2.0, 3.0, 3.0])]
+    found = run(spark, rows)
+    assert found == brute(rows)
+    assert [r[2] for r in found if r[0] == 50] == [100, 1, 2, 3, 4]
+
+
+def test_cells_hold_every_vector_and_leave_few_pairs_of_blocks(spark):
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(8)
+    # Clusters in far directions: a query block needs the data blocks of its own direction alone.
+    sides = [[1000.0 * (k == n) for k in range(12)] for n in range(12)]
+    points = [(i, [int(x + rnd.gauss(0, 20)) for x in sides[i % 12]]) for i in range(2400)]
+    df = spark.createDataFrame(points, "name long, v array<long>").select("v", F.array("name").alias("ids"))
+    data = cover_tree.cut(cover_tree.trees(cover_tree.in_cells(df, 100), 100))
+    asked = cover_tree.cut(cover_tree.trees(cover_tree.in_cells(df.where("ids[0] % 10 = 0"), 30), 30).withColumnRenamed("block", "q_block"))
+    held = [i for r in data.select("ids").collect() for i in np.frombuffer(r["ids"], "int64")]
+    assert sorted(held) == list(range(2400))
+    cells = cover_tree.cell_summaries(data).orderBy("cell").collect()
+    near = cover_tree.cut(cover_tree.first_pairs(asked, data, cells))
+    seeded = cover_tree.cut(cover_tree.meet(asked.withColumn("worst", F.lit(None).cast("array<long>")), near, data, 6))
+    rest = cover_tree.other_pairs(asked.join(seeded.select("q_block", "worst"), "q_block"), data, cells, near)
+    pairs, every = near.count() + rest.count(), asked.count() * data.count()
+    assert data.count() >= 24 and asked.count() >= 6
+    assert pairs < 0.35 * every
