@@ -215,14 +215,17 @@ class Search:
 
 def in_cells(points: DataFrame, block: int) -> DataFrame:
     """Appends ``top`` and ``cell``, the cells of the first and of the last level, to ``v, ids``; cells of at most ``block`` points stay whole."""
-    done, placed = [], points.select("v", "ids").withColumn("top", F.lit(0)).withColumn("cell", F.lit(0).cast("long"))
-    for level in range(LEVELS):
-        wide = cut(placed.groupBy("cell").count().where(F.col("count") > block))
-        if wide.isEmpty():
-            break
-        marked = placed.join(small(wide), "cell", "left").select(*placed.columns, "count")
-        done.append(marked.where(F.col("count").isNull()).drop("count"))
-        placed = cut(_split(marked.where(F.col("count").isNotNull()), block, level == 0))
+    done, placed = [], points.select("v", "ids").withColumns({"top": F.lit(0), "cell": F.lit(0).cast("long")})
+    total = placed.count()
+    if total > block:
+        placed = cut(_split(placed.withColumn("count", F.lit(total)), block, True))
+        for _ in range(1, LEVELS):
+            wide = cut(placed.groupBy("cell").count().where(F.col("count") > block))
+            if wide.isEmpty():
+                break
+            marked = placed.join(small(wide), "cell", "left").select(*placed.columns, "count")
+            done.append(marked.where(F.col("count").isNull()).drop("count"))
+            placed = cut(_split(marked.where(F.col("count").isNotNull()), block, False))
     for d in done:
         placed = placed.unionByName(d)
     return placed
@@ -267,9 +270,10 @@ def _split(wide: DataFrame, block: int, first: bool) -> DataFrame:
 def trees(placed: DataFrame, block: int) -> DataFrame:
     """One row for each block of at most about ``block`` points of a cell: ``cell`` (of the first level), ``block, centre, radius`` and the packed tree."""
     wide = small(placed.groupBy("cell").count().where(F.col("count") > block))
+    sized = placed.withColumn("count", F.lit(block)) if wide.isEmpty() else placed.join(wide, "cell", "left")
     parts = F.coalesce(F.ceil(F.col("count") / block), F.lit(1))
     number = F.col("cell") * (1 << 20) + F.pmod(F.xxhash64("v", F.lit(3)), parts)
-    dealt = placed.join(wide, "cell", "left").select(F.col("top").alias("cell"), number.alias("block"), "v", "ids")
+    dealt = sized.select(F.col("top").alias("cell"), number.alias("block"), "v", "ids")
 
     def run(table: pa.Table) -> pa.Table:
         vectors = table.column("v").to_pylist()
