@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sitefacts.llm import cover_tree, line_dedup, mixing, ngram_join, quality_rules, sentencepiece_codec, token_counts, toxicity, training_order, url_filter
+from sitefacts.llm import cover_tree, line_dedup, mixing, ngram_join, quality_rules, sentencepiece_codec, suffix_dedup, token_counts, toxicity, training_order, url_filter
 from sitefacts.llm.common import table
 
 
@@ -47,6 +47,10 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
