@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sitefacts.llm import conversation_trie, cover_tree, line_dedup, mixing, ngram_join, quality_rules, sentencepiece_codec, suffix_dedup, token_counts, toxicity, training_order, url_filter
+from sitefacts.llm import conversation_trie, cover_tree, line_dedup, mixing, ngram_join, quality_rules, sentencepiece_codec, spelling_variants, suffix_dedup, token_counts, toxicity, training_order, url_filter
 from sitefacts.llm.common import table
 
 
@@ -55,9 +55,14 @@ def op12_conversation_trie(spark, sf_dir):
     return conversation_trie.report(table(spark, sf_dir, "conversations"))
 
 
+def op13_spelling_variants(spark, sf_dir):
+    return spelling_variants.variants(table(spark, sf_dir, "documents"))
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql():
-    return {"op3_exact_top_k": cover_tree.ORACLE, "op4_line_dedup": line_dedup.ORACLE, "op5_ngram_join": ngram_join.ORACLE, "op6_mixing": mixing.oracle(), "op7_quality_rules": quality_rules.oracle(), "op12_conversation_trie": conversation_trie.ORACLE}
+    return {"op3_exact_top_k": cover_tree.ORACLE, "op4_line_dedup": line_dedup.ORACLE, "op5_ngram_join": ngram_join.ORACLE, "op6_mixing": mixing.oracle(), "op7_quality_rules": quality_rules.oracle(), "op12_conversation_trie": conversation_trie.ORACLE,
+            "op13_spelling_variants": spelling_variants.ORACLE}
