@@ -46,11 +46,13 @@ REMEMBERED, UNMARKED, COUNTED = 50_000, 150_000, 100_000
 LOOKALIKES = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "(": "c", "¡": "i"}
 SEPARATORS = set(" .-_*'~,·/\\")
 #: Log costs of the channel; the last two are added where a character that imitates a letter, or one outside words, goes.
-IMITATE, REPEAT, DROP, BREAK, WASTE, OUTSIDE = -1.5, -0.5, -0.3, -2.5, -2.0, -2.0
+IMITATE, REPEAT, DROP, BREAK, WASTE, OUTSIDE = -0.7, -0.5, -0.3, -7.0, -4.0, -2.0
 
-EDGE = " \t\r\n.,;:!?\"'()[]{}<>«»“”‘’…*#$%&|"
-OPENING, CLOSING = "\"'([{<«“‘", ".,;:?\"')]}>»”’…"
-SPACED = re.compile(r"(?<!\S)\S(?:\s+\S){2,}(?!\S)")
+#: Marks around words that imitate no letter; what else stands at a word's ends is for the lattice to judge.
+SIGNS = "!$|(+@"
+MARKS = " \t\r\n.,;:?\"')[]{}<>«»“”‘’…*#%&"
+OPENING, CLOSING = "\"'([{<«“‘", ".,;:!?\"')]}>»”’…"
+SPACED = re.compile(rf"(?<!\S)[{re.escape(OPENING)}]*\S(?:\s+\S){{2,}}[{re.escape(CLOSING)}]*(?!\S)")
 RUN, RUNS = re.compile(r"(.)\1"), re.compile(r"(.)\1+")
 #: Characters between two looks for letters on which all paths agree.
 COMMIT = 256
@@ -150,15 +152,20 @@ class Channel:
 
     def __init__(self, model: tuple[np.ndarray, np.ndarray]):
         self.model = Model(*model)
-        self._steps: dict[tuple[str, bool], tuple] = {}
+        self._steps: dict[tuple[str, bool, bool], tuple] = {}
         self._signs = Signs()
 
-    def options(self, c: str, again: bool) -> tuple[tuple[str, int, float], ...]:
-        """What ``c`` may stand for, with the letter's symbol and the cost; ``again`` if the same character is before it."""
-        found = self._steps.get((c, again))
+    def options(self, c: str, again: bool, whole: bool = False) -> tuple[tuple[str, int, float], ...]:
+        """What ``c`` may stand for, with the letter's symbol and the cost; ``again`` if the same character is before it.
+
+        In a ``whole`` reading what may be a letter is one.
+        """
+        found = self._steps.get((c, again, whole))
         if found is None:
             if c.isalpha():
-                ways = [(c, 0.0)] + [("", REPEAT)] * again
+                ways = [(c, 0.0)] + [("", REPEAT)] * (again and not whole)
+            elif whole and c in LOOKALIKES:
+                ways = [(letter, IMITATE) for letter in LOOKALIKES[c]]
             else:
                 ways = [(letter, IMITATE) for letter in LOOKALIKES.get(c, "")]
                 if c in SEPARATORS:
@@ -168,10 +175,10 @@ class Channel:
                 ways.append((" ", BREAK + WASTE * (c in LOOKALIKES)))
             found = tuple((letter, symbol(letter) if letter else -1, cost) for letter, cost in ways)
             if len(self._steps) < 100_000:
-                self._steps[c, again] = found
+                self._steps[c, again, whole] = found
         return found
 
-    def decode(self, text: str) -> str:
+    def decode(self, text: str, whole: bool = False) -> str:
         """The best path through the lattice of ``text`` (lower case); words of the result are split by spaces.
 
         A state is the last two symbols; ties go to the path that was found first.
@@ -181,7 +188,10 @@ class Channel:
         out: list[str] = []
         before = ""
         for at, c in enumerate(text):
-            steps = options(c, c == before)
+            steps = options(c, c == before, whole)
+            if whole and len(steps) > 1:  # nobody writes one of two equal letters with a sign
+                beside = before + text[at + 1 : at + 2]
+                steps = [x for x in steps if x[0] not in beside] or steps
             before = c
             after: dict[int, tuple[float, tuple | None]] = {}
             for last, (score, path) in states.items():
@@ -243,33 +253,55 @@ class Channel:
             kept[key] = score, path
         return kept
 
+    @staticmethod
+    def core(token: str) -> str:
+        """A token without the marks around it; a bracket that is closed again is one of them."""
+        core = token.strip(MARKS)
+        return core.lstrip("(").strip(MARKS) if core[:1] == "(" and ")" in token else core
+
     def words(self, token: str) -> list[str]:
-        """The word of a token, and its restored words if it looks obfuscated."""
-        token = token.lower()
-        word = token.strip(EDGE)
-        low = token.rstrip(CLOSING).lstrip(OPENING)
-        if word.isalpha() and low[:1] not in LOOKALIKES:
+        """The word of a token, and its restored words if it looks obfuscated.
+
+        Where signs may be letters the reading that takes all of them for letters comes too: a language model that has never
+        met the word would rather drop one.
+        """
+        word = self.core(token.lower())
+        if word.isalpha():
             return [word, self.alphabetic(word)] if RUN.search(word) else [word]
-        if not any(c.isalpha() or c in LOOKALIKES for c in low):
+        if not any(c.isalpha() or c in LOOKALIKES for c in word):
             return [word] if word else []
-        return [word or low, *self.decode(low).split()]
+        found = [word.strip(SIGNS) or word]
+        for part in dict.fromkeys((word, word.lstrip("(").rstrip("!"))):  # most likely marks, but they may be letters
+            if not part.isalpha():
+                found += self.decode(part).split()
+                if any(c in LOOKALIKES for c in part):
+                    found += self.decode(part, True).split()
+        return found
 
     def spaced(self, text: str) -> list[list[str]]:
         """For each word spelt as single characters with spaces between them: the joined characters and the decoded words."""
         out = []
         for run in SPACED.findall(text):
-            parts = run.lower().split()
+            parts = self._singles(run)
             out.append(["".join(parts), *self.decode(" ".join(parts)).split()])
         return out
 
+    @staticmethod
+    def _singles(run: str) -> list[str]:
+        """The characters of a spaced word; the marks beside its first and last one go."""
+        parts = run.lower().split()
+        return [parts[0][-1], *parts[1:-1], parts[-1][0]]
+
     def restore(self, text: str) -> str:
         """The whole text with obfuscated tokens and spaced words replaced by what they stand for."""
-        text = SPACED.sub(lambda m: self.decode(" ".join(m[0].lower().split())).strip(), text)
+        text = SPACED.sub(lambda m: self.decode(" ".join(self._singles(m[0]))).strip(), text)
         return re.sub(r"\S+", lambda m: self._token(m[0]), text)
 
     def _token(self, token: str) -> str:
-        found = self.words(token)
-        return " ".join(found[1:]) if len(found) > 1 else token
+        word = self.core(token.lower())
+        if word.isalpha():
+            return self.alphabetic(word) if RUN.search(word) else token
+        return self.decode(word).strip() if any(c.isalpha() or c in LOOKALIKES for c in word) else token
 
 
 def features(word: str) -> list[str]:
@@ -347,8 +379,8 @@ class Scorer:
     def evidence(self, text: str) -> tuple[float, int]:
         found: dict[str, float] = {}
         for token in set(text.lower().split()) - self.nothing - self.before:
-            word = token if token.isalpha() else token.strip(EDGE)
-            if word.isalpha() and (word is token or token.lstrip(OPENING)[:1] not in LOOKALIKES) and not self.may_weigh(word):
+            word = token if token.isalpha() else self.channel.core(token)
+            if word.isalpha() and not self.may_weigh(word):
                 self._nothing(token)
                 continue
             words, weight = self.memo[token]

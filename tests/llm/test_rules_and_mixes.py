@@ -140,6 +140,30 @@ def test_long_passages_go_from_few_sites_on(spark):
     assert [r.n_removed for r in line_dedup.report(docs(spark, rows)).collect()] == [0] * 4
 
 
+def test_copies_of_documents_are_not_boilerplate_for_the_pipeline(spark):
+    copy = "\n".join(" ".join(f"p{k}-{j}" for j in range(55)) for k in range(4))
+    shared = " ".join(f"s{j}" for j in range(60))
+    rows = [(i, copy, "en", f"s{i}", 0) for i in range(14)] + [(20 + i, f"own {i}\n{shared}", "en", f"s{i}", 0) for i in range(4)]
+    rows += [(40, shared, "en", "s9", 0), (41, f"{shared}\n{copy}", "en", "s10", 0), (50, "", "en", "s", 0), (51, None, "en", "s", 0)]
+    stage = {r.doc_id: r.text for r in corpus_pipeline.drop_boilerplate(spark, docs(spark, rows), SF).collect()}
+    assert all(stage[i] == copy for i in range(14))  # one document and its copies, so its lines are on two sites
+    assert stage[20] == rows[14][1] and stage[21] == "own 1" and 40 not in stage and stage[41] == copy and stage[50] == "" and stage[51] is None
+    near = corpus_pipeline.keep_one_of_each_group(spark, spark.createDataFrame([(k, v, "en", "s", 0) for k, v in stage.items()], "doc_id long, text string, lang string, source string, n_chars long"), SF)
+    assert sorted(r.doc_id for r in near.collect()) == [0, 20, 21, 22, 23, 50, 51]
+
+
+def test_pipeline_gives_no_blank_document_for_one_with_words(spark):
+    sf = "/root/testdata/sf0.1"
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    lines = corpus_pipeline.drop_boilerplate(spark, table, sf)
+    wordless = ~F.coalesce(F.col("text"), F.lit("")).rlike("[^ \\t-\\r]")
+    blank = lines.where(wordless).select("doc_id").join(table.where(~wordless), "doc_id").count()
+    assert blank == 0 and lines.count() > 0.95 * table.count()
+    whole = table.groupBy("text").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")).where("n > 1 and length(text) > 200")
+    kept = corpus_pipeline.keep_one_of_each_group(spark, lines, sf).select("doc_id")
+    assert kept.join(table, "doc_id").groupBy("text").count().where("count > 1").join(whole, "text").count() == 0
+
+
 def test_mix_meets_targets_and_keeps_all_columns(spark):
     rnd = random.Random(1)
     rows = [(i, " ".join("w" for _ in range(rnd.randint(1, 60))), rnd.choice(["en", "de"]), "big" if i % 3 else "small", 0) for i in range(3000)]
@@ -437,6 +461,32 @@ def test_no_word_that_may_weigh_is_left_out(channel):
             assert scorer.may_weigh(word), word
 
 
+@pytest.fixture(scope="module")
+def given_channel(spark):
+    """The channel under the language model of given documents, which knows nothing of the tests' words."""
+    return toxicity.Channel(toxicity.language_model(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")))
+
+
+@pytest.mark.parametrize(
+    "token, word",
+    [("a$$", "ass"), ("as$", "ass"), ("kil|", "kill"), ("(unt", "cunt"), ("k1ll", "kill"), ("st0p", "stop"), ("1d10t!", "idiot"), ("\"$tup!d\",", "stupid"), ("(1oser", "loser"), ("m0r0n", "moron"), ("$cum", "scum"), ("f-u-n", "fun"), ("tr@$h.", "trash"), ("(trash!)", "trash"), ("+rash", "trash")],
+)
+def test_signs_at_either_end_are_decoded_under_the_model_of_given_documents(given_channel, token, word):
+    assert word in given_channel.words(token)
+    weights = {word: 5.0}
+    assert toxicity.Scorer(given_channel, weights).evidence(f"so {token} there") == (5.0, 1)
+
+
+@pytest.mark.parametrize("text, word", [("you i d i o t, go", "idiot"), ("s t u p i d.", "stupid"), ("\"s t u p i d\"", "stupid"), ("(s c u m)", "scum"), ("so  f  u  n!", "fun"), ("m\to\nr  o n", "moron")])
+def test_spaced_words_with_marks_beside_them_are_decoded(given_channel, text, word):
+    assert word in sum(given_channel.spaced(text), []) and word in given_channel.restore(text).split()
+
+
+def test_clean_tokens_stay(given_channel):
+    for token, word in (("(the", "the"), ("end!", "end"), ("(and)", "and"), ("what!?", "what"), ("50%", "50"), ("--", "--"), ("(", "(")):
+        assert given_channel.words(token)[:1] == [word]
+
+
 def test_words_with_one_repeated_letter_are_decoded_as_by_the_lattice(channel):
     rnd = random.Random(12)
     for _ in range(2000):
@@ -453,7 +503,7 @@ def test_pipeline_stage_by_stage(spark):
     clean = corpus_pipeline.drop_toxic(spark, table, SF)
     assert clean.columns == table.columns and sorted(clean.collect()) == sorted(at.select(*table.columns).collect())
     lines = corpus_pipeline.drop_boilerplate(spark, clean, SF)
-    assert lines.columns == table.columns and lines.count() == clean.count() and lines.where(F.length("text") != F.col("n_chars")).count() == 0
+    assert lines.columns == table.columns and clean.count() - 5 < lines.count() <= clean.count() and lines.where(F.length("text") != F.col("n_chars")).count() == 0
     from test_ngram_join import brute
 
     class_of = {doc: component for doc, _, component in brute([(r.doc_id, r.text) for r in lines.collect()])}
