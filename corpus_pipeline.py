@@ -4,7 +4,9 @@ Toxic documents go, boilerplate lines go from the texts, one document of each ne
 mixed to their targets, and what is left is encoded. All stages but the last return the columns of ``documents``;
 ``n_chars`` follows the text. A stage's table is removed once the next one's is written.
 
-Null and empty texts pass every stage as they are, but for the mixing draw; a null text keeps a null ``n_chars``. Of repeated
+Null and empty texts pass every stage as they are, but for the mixing draw; a null text keeps a null ``n_chars``. A document
+whose every line is boilerplate that stands elsewhere says nothing of its own and goes; copies of a whole document are left
+whole by the line stage, so that the next one finds them. Of repeated
 rows with words one stays. Extra columns of ``documents`` stay to the last stage, whatever their names. An empty table gives
 an empty result.
 """
@@ -25,8 +27,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cleaned = line_dedup.remove_boilerplate(docs).select(*docs.columns)
-    return cleaned.withColumn("n_chars", F.length("text").cast("long"))
+    cleaned = line_dedup.remove_boilerplate(docs, copies_as_one=True)
+    emptied = (F.col("n_removed") > 0) & (F.col("n_removed") == F.col("n_lines"))
+    return cleaned.where(~emptied).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
