@@ -3,96 +3,26 @@
 from __future__ import annotations
 
 import struct
-from html.parser import HTMLParser
-from urllib.parse import urljoin
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitefacts.functions import checks, urls
+from sitefacts.operators.pages import parsed
 
 PER_PAGE, DETAILS, PROBED, PROBE_BYTES = 80, 60, 4, 2_500_000
-_HEADINGS = ("h1", "h2", "h3", "h4")
-_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-
-
-class _Images(HTMLParser):
-    """Image tags of a page in order, with the caption that stands about each."""
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.meta, self.found = [], []
-        self.open: list[list] = []  # tag, caption heading just before it, text so far, caption of a figure
-        self.before: list[str | None] = [None]  # on each level, the heading that the next element follows
-        self.figures: list[dict] = []
-
-    def handle_starttag(self, tag, attrs):
-        a = dict(attrs)
-        if tag == "meta" and (a.get("property") == "og:image" or a.get("name") == "twitter:image") and a.get("content"):
-            self.meta.append(a["content"])
-        if tag == "img":
-            srcset = (a.get("srcset") or "").split(",")[0].split()
-            src = srcset[0] if srcset else a.get("src") or a.get("data-src")
-            if src and ("src" in a or "data-src" in a):
-                parent = self.open[-1][1] if self.open else None
-                self.found.append({"src": src, "alt": a.get("alt") or "", "title": a.get("title") or "", "heading": parent or "", "figure": self.figures[-1] if self.figures else None})
-        if tag in _VOID:
-            self.before[-1] = None
-            return
-        self.open.append([tag, self.before[-1], [], set((a.get("class") or "").split())])
-        self.before.append(None)
-        if tag == "figure":
-            self.figures.append({"caption": None})
-
-    def handle_data(self, data):
-        for entry in self.open:
-            if entry[0] in (*_HEADINGS, "figcaption") or entry[3] & {"wp-caption-text", "caption"}:
-                entry[2].append(data)
-
-    def handle_endtag(self, tag):
-        if not any(entry[0] == tag for entry in self.open):
-            return
-        while self.open:
-            name, _, text, classes = self.open.pop()
-            self.before.pop()
-            said = "".join(text).strip()
-            self.before[-1] = said if name in _HEADINGS or classes & {"wp-caption-text", "caption"} else None
-            if name == "figcaption" and self.figures and self.figures[-1]["caption"] is None:
-                self.figures[-1]["caption"] = said
-            if name == "figure" and self.figures:
-                self.figures.pop()
-            if name == tag:
-                break
-
-    def rows(self, page: str):
-        for pos, raw in enumerate([*self.meta, *self.found]):
-            image = raw if isinstance(raw, dict) else {"src": raw, "alt": "", "title": "", "heading": "", "figure": None}
-            try:
-                url = urljoin(page, image["src"])
-            except ValueError:
-                continue
-            figure = ((image["figure"] or {}).get("caption") or "")[:400]
-            yield pos, url, image["alt"], image["title"], figure or image["heading"][:200]
 
 
 def tags(pages: DataFrame) -> DataFrame:
     """``site, page_seq, page_url, pos, url, alt, title, caption``: image tags as written, metadata first."""
+    return of_parsed(parsed(pages.where(F.lower("html").rlike("<ima?ge?|og:image|twitter:image"))))
 
-    def run(batches):
-        for batch in batches:
-            out = []
-            for site, seq, url, html in zip(*(batch.column(c).to_pylist() for c in ("site", "page_seq", "url", "html"))):
-                parser = _Images()
-                parser.feed(html or "")
-                parser.close()
-                out += [(site, seq, url, *row) for row in parser.rows(url)]
-            names = ["site", "page_seq", "page_url", "pos", "url", "alt", "title", "caption"]
-            kinds = [pa.string(), pa.int64(), pa.string(), pa.int32(), *[pa.string()] * 4]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names)
-
-    slim = pages.select("site", F.col("page_seq").cast("long").alias("page_seq"), "url", "html").where(F.lower("html").rlike("<img|og:image|twitter:image"))
-    return slim.mapInArrow(run, "site string, page_seq long, page_url string, pos int, url string, alt string, title string, caption string")
+
+def of_parsed(found: DataFrame) -> DataFrame:
+    """``tags`` of pages that are parsed."""
+    rows = found.select("site", "page_seq", F.col("url").alias("page_url"), F.posexplode("images").alias("pos", "x"))
+    return rows.select("site", "page_seq", "page_url", "pos", urls.resolve(F.col("x.src"), F.col("page_url")).alias("url"), "x.alt", "x.title", "x.caption")
 
 
 def assets(found: DataFrame) -> DataFrame:

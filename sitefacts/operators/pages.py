@@ -5,10 +5,12 @@ Rows are ``site, page_seq, url, html``; order within a site is ``page_seq``. A s
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitefacts.functions import checks, urls, vocab
+from sitefacts.functions.markup import Page
 from sitefacts.functions.rx import blank, count_of, has, swap, trim
 
 _ENTITIES = (("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"))
@@ -19,6 +21,39 @@ def site_pages(pages: DataFrame) -> DataFrame:
     return pages.select(urls.host(F.col("url")).alias("site"), F.col("page_id").alias("page_seq"), "url", F.coalesce("html", F.lit("")).alias("html")).where("site <> ''")
 
 
+_PARSED = (
+    "site string, page_seq long, url string, text string, title string, og_title string, og_site_name string, "
+    "links array<struct<raw:string,anchor:string>>, images array<struct<src:string,alt:string,title:string,caption:string>>, scripts array<string>"
+)
+#: Rows of a batch of parsed pages.
+_BATCH = 200
+
+
+def parsed(pages: DataFrame) -> DataFrame:
+    """``site, page_seq, url`` and all that a page's markup says, read in one pass: ``text, title, og_title, og_site_name, links, images, scripts``.
+
+    The exact tier: what a browser's tree would give, for pages of any shape. ``visible_text`` and ``links`` are the native
+    tier for pages whose tags are closed.
+    """
+
+    def run(batches):
+        link, image = (pa.struct([(c, pa.string()) for c in names]) for names in (("raw", "anchor"), ("src", "alt", "title", "caption")))
+        kinds = [pa.string(), pa.int64(), *[pa.string()] * 5, pa.list_(link), pa.list_(image), pa.list_(pa.string())]
+        names = [x.split()[0] for x in _PARSED.replace(":", " ").split(", ")]
+        for batch in batches:
+            for lo in range(0, batch.num_rows, _BATCH):
+                part, rows = batch.slice(lo, _BATCH), []
+                for site, seq, url, html in zip(*(part.column(c).to_pylist() for c in ("site", "page_seq", "url", "html"))):
+                    page = Page(html or "")
+                    links = [dict(zip(("raw", "anchor"), x)) for x in page.links()]
+                    images = [dict(zip(("src", "alt", "title", "caption"), x)) for x in page.images()]
+                    rows.append((site, seq, url, page.visible(), page.title_text(), page.named.get("og:title", ""), page.named.get("og:site_name", ""), links, images, page.scripts))
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
+
+    rows = pages.select("site", F.col("page_seq").cast("long").alias("page_seq"), "url", "html").mapInArrow(run, _PARSED)
+    return rows.withColumn("og_title", trim(F.col("og_title"))).withColumn("og_site_name", trim(F.col("og_site_name")))
+
+
 def decode_entities(text):
     for name, char in _ENTITIES:
         text = F.replace(text, F.lit(name), F.lit(char))
@@ -67,7 +102,16 @@ def links(pages: DataFrame) -> DataFrame:
     click = r"""(?is)<[a-z]+\b[^>]*?\bonclick="[^"]*'([^"']+/[^"']*)'[^"]*"[^>]*>([^<]*)"""
     each = F.concat(*(F.arrays_zip(found(p, 1).alias("raw"), found(p, 2).alias("anchor")) for p in (anchor, data, click)))
     rows = pages.select("site", "page_seq", "url", F.posexplode(each).alias("pos", "x"))
-    rows = rows.select("site", "page_seq", "url", "pos", trim(decode_entities(F.col("x.raw"))).alias("raw"), tag_text(F.col("x.anchor")).alias("anchor"))
+    return _targets(rows.select("site", "page_seq", "url", "pos", trim(decode_entities(F.col("x.raw"))).alias("raw"), tag_text(F.col("x.anchor")).alias("anchor")))
+
+
+def parsed_links(found: DataFrame) -> DataFrame:
+    """``links`` of ``parsed`` pages: the same columns, from the exact tier."""
+    rows = found.select("site", "page_seq", "url", F.posexplode("links").alias("pos", "x"))
+    return _targets(rows.select("site", "page_seq", "url", "pos", trim(F.col("x.raw")).alias("raw"), F.col("x.anchor").alias("anchor")))
+
+
+def _targets(rows: DataFrame) -> DataFrame:
     rows = rows.where((F.col("raw") != "") & ~F.col("raw").rlike("^(mailto:|tel:|#)"))
     rows = rows.withColumn("abs", urls.resolve(F.col("raw"), F.col("url"))).where(F.col("abs").rlike("(?i)^https?://") & urls.same_origin(F.col("abs"), F.col("url")) & ~urls.is_asset(F.col("abs")))
     return rows.select("site", "page_seq", "url", "pos", urls.url_key(F.col("abs")).alias("href"), "anchor", urls.link_score(F.col("abs"), F.col("anchor")).alias("score"))

@@ -117,6 +117,29 @@ _LINKS = f"""{_SITE}, m AS (SELECT site, page_seq, url, regexp_extract_all(html,
 PAGE_LINKS = f"WITH {_LINKS} SELECT * FROM k"
 
 
+#: The page table's markup made regular: what the end cuts off goes, paragraphs that the next one ends and links are closed, entities end.
+_WHOLE = r"regexp_replace(regexp_replace(html, '(?s)<!--(?:[^-]|-[^-]|--[^>])*$', ''), '<[^>]*$', '')"
+_CLOSED = rf"regexp_replace(replace({_WHOLE}, '<br><p>', '<br></p><p>'), '&(amp|quot|copy|middot)([^;a-z]|$)', '&\1;\2', 'g')"
+_REGULAR = f"{_SITE}, w AS (SELECT site, page_seq, url, {_CLOSED} AS html FROM s)"
+
+
+def exact_texts(spark, d):
+    """Text and title of every page by the exact tier."""
+    found = pages.parsed(site_pages(spark, d))
+    return found.select("site", "page_seq", F.length("text").cast("long").alias("text_chars"), F.md5("text").alias("text_md5"), "title")
+
+
+EXACT_TEXTS = f"WITH {_REGULAR}, v AS (SELECT site, page_seq, {twin.visible('html')} AS text, {twin.title('html')} AS title FROM w) SELECT site, page_seq, length(text)::BIGINT AS text_chars, md5(text) AS text_md5, title FROM v"
+
+
+def exact_links(spark, d):
+    """Links of every page by the exact tier."""
+    return pages.parsed_links(pages.parsed(site_pages(spark, d)))
+
+
+EXACT_LINKS = f"WITH {_REGULAR}" + _LINKS.removeprefix(_SITE).replace("FROM s)", "FROM w)").replace("(.*?)</a\\s*>", "([^<]*)") + " SELECT * FROM k"
+
+
 def thin_pages(spark, d):
     return pages.thin(site_pages(spark, d).withColumn("priority", F.lit(vocab.SITEMAP_SCORE))).select("site", "page_seq", "text_chars", "n_links", "thin")
 
@@ -199,7 +222,7 @@ CRAWL_REACH = f"""WITH RECURSIVE {_LINKS}, f AS (SELECT site, {twin.url_key('url
  w AS (SELECT * FROM f UNION SELECT g.site, g.href, depth + 1 FROM w JOIN g ON g.site = w.site AND g.src = w.url WHERE depth < 7) SELECT site, url, min(depth)::INT AS depth FROM w GROUP BY ALL"""
 
 NAMES = (
-    "site_primary_phone", "phone_candidates", "email_candidates", "visible_text_stats", "page_titles", "longest_title", "most_common_value", "url_forms", "page_links", "thin_pages", "seed_union",
+    "site_primary_phone", "phone_candidates", "email_candidates", "visible_text_stats", "page_titles", "longest_title", "most_common_value", "url_forms", "page_links", "exact_texts", "exact_links", "thin_pages", "seed_union",
     "site_verify_score", "verify_urls", "term_scores", "corpus_text", "first_rows_win", "csv_escape", "crawl_reach",
 )
 QUERIES = {n: globals()[n] for n in NAMES}
