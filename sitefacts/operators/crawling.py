@@ -64,49 +64,79 @@ def reach(seeds: DataFrame, links: DataFrame, pages: DataFrame, rules: DataFrame
     return seen
 
 
-def best_first(seeds: DataFrame, links: DataFrame, pages: DataFrame, most: int = vocab.MAX_PAGES, depth: int = vocab.MAX_DEPTH) -> DataFrame:
+def _promising(rows: DataFrame, by: list[str], most: int) -> DataFrame:
+    """``by`` and ``out``: of rows ``url, score, seq`` the first of each url, and of those the best, as an array in turn.
+
+    A crawl of ``most`` pages can have seen ``most`` urls of a list and take as many more, so twice that many are enough.
+    """
+    first = rows.groupBy(*by, "url").agg(F.min(F.struct("seq", "score")).alias("x")).select(*by, "url", "x.*")
+    best = Window.partitionBy(*by).orderBy(F.desc("score"), "seq")
+    kept = first.withColumn("__place", F.row_number().over(best)).where(F.col("__place") <= 2 * most)
+    return kept.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("seq", "url", "score"))).alias("out"))
+
+
+def best_first(seeds: DataFrame, links: DataFrame, pages: DataFrame, most: int = vocab.MAX_PAGES, depth: int = vocab.MAX_DEPTH, ahead: int = 16) -> DataFrame:
     """``site, url, turn, depth``: the order in which a best-first crawl of at most ``most`` pages visits each site.
 
-    Seeds and links are those that robots allow. A site's frontier is a queue by score, first in first out among equals,
-    so it runs as one group; each group holds one site's links.
+    Seeds and links are those that robots allow; what is not among ``pages`` cannot be fetched. A site's frontier is a queue by
+    score, first in first out among equals. It advances in rounds: a round replays each site's queue over the links of the
+    pages known so far, up to the first page whose links are not, and asks for those of the ``ahead`` best pages in the
+    queue; a join brings them. A site's rows in a round are pages it visits or asked for, each with a bounded list, so a site
+    of any size takes no more room than another; at least one page of each site is settled in a round.
     """
     import heapq
 
     import pandas as pd
 
-    rows = (
-        seeds.select("site", F.lit("seed").alias("kind"), F.lit("").alias("src"), "url", F.col("score").cast("double"), F.col("seq").cast("long"))
-        .unionByName(links.select("site", F.lit("link").alias("kind"), F.col("url").alias("src"), F.col("href").alias("url"), F.col("score").cast("double"), F.col("pos").cast("long").alias("seq")))
-        .unionByName(pages.select("site", F.lit("page").alias("kind"), F.lit("").alias("src"), F.col("url_key").alias("url"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("seq")))
-    )
-
-    def visit(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("seq", kind="stable")
-        fetched = set(group.url[group.kind == "page"])
-        out_of = {src: list(zip(g.url, g.score)) for src, g in group[group.kind == "link"].groupby("src")}
-        queue, turn, seen, order = [], 0, set(), []
-        for r in group[group.kind == "seed"].itertuples():
-            heapq.heappush(queue, (-r.score, turn, r.url, 0))
-            turn += 1
-        while queue and len(order) < most:
-            score, _, url, level = heapq.heappop(queue)
+    known = cut(pages.select("site", F.col("url_key").alias("url")).distinct())
+    first = seeds.select("site", "url", F.col("score").cast("double").alias("score"), F.col("seq").cast("long").alias("seq"))
+    first = _promising(first.join(known, ["site", "url"], "left_semi"), ["site"], most)
+    out_of = links.select("site", F.col("url").alias("src"), F.col("href").alias("url"), F.col("score").cast("double").alias("score"), F.col("pos").cast("long").alias("seq"))
+    out_of = cut(_promising(out_of.join(known, ["site", "url"], "left_semi"), ["site", "src"], most))
+    held = cut(first.select("site", F.lit("").alias("src"), "out"))
+
+    def replay(group: pd.DataFrame) -> pd.DataFrame:
+        lists = {src: [(x["url"], x["score"]) for x in out] for src, out in zip(group.src, group.out)}
+        queue, turn, seen, rows = [], 0, set(), []
+        site = group.site.iloc[0]
+
+        def push(found, before, level):
+            nonlocal turn
+            for url, points in found:
+                if url not in seen:
+                    heapq.heappush(queue, (-(points - before / 100), turn, url, level))
+                    turn += 1
+
+        push(lists.get("", []), 0.0, 0)
+        while queue and len(rows) < most:
+            score, _, url, level = queue[0]
             if url in seen:
+                heapq.heappop(queue)
                 continue
+            wanted = level < depth and len(rows) + 1 < most
+            if wanted and url not in lists:
+                asked = {}
+                for _, _, other, below in sorted(queue):
+                    if other not in seen and other not in lists and below < depth:
+                        asked[other] = True
+                        if len(asked) == ahead:
+                            break
+                return pd.DataFrame([(site, u, -1, 0) for u in asked], columns=["site", "url", "turn", "depth"])
+            heapq.heappop(queue)
             seen.add(url)
-            if url not in fetched:
-                continue
-            order.append((group.site.iloc[0], url, len(order), level))
-            if level < depth:
-                for href, points in _first(out_of.get(url, [])):
-                    if href not in seen:
-                        heapq.heappush(queue, (-(points - score / 100), turn, href, level + 1))
-                        turn += 1
-        return pd.DataFrame(order, columns=["site", "url", "turn", "depth"])
-
-    def _first(found):
-        once = {}
-        for href, points in found:
-            once.setdefault(href, points)
-        return once.items()
-
-    return rows.groupBy("site").applyInPandas(visit, "site string, url string, turn long, depth long")
+            rows.append((site, url, len(rows), level))
+            if wanted:
+                push(lists[url], score, level + 1)
+        return pd.DataFrame(rows, columns=["site", "url", "turn", "depth"])
+
+    done = None
+    while True:
+        replayed = cut(held.groupBy("site").applyInPandas(replay, "site string, url string, turn long, depth long"))
+        whole = replayed.where("turn >= 0")
+        done = whole if done is None else done.unionByName(whole)
+        asked = replayed.where("turn < 0").select("site", F.col("url").alias("src"))
+        if asked.isEmpty():
+            return done
+        empty = F.expr("cast(array() as array<struct<seq:bigint,url:string,score:double>>)")
+        more = asked.join(out_of, ["site", "src"], "left").select("site", "src", F.coalesce("out", empty).alias("out"))
+        held = cut(held.join(asked.select("site").distinct(), "site", "left_semi").unionByName(more))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sitefacts.functions import checks, urls, vocab
@@ -221,9 +222,56 @@ CRAWL_REACH = f"""WITH RECURSIVE {_LINKS}, f AS (SELECT site, {twin.url_key('url
  g AS (SELECT DISTINCT k.site, {twin.url_key('k.url')} AS src, k.href FROM k JOIN s ON s.site = k.site AND {twin.url_key('s.url')} = k.href),
  w AS (SELECT * FROM f UNION SELECT g.site, g.href, depth + 1 FROM w JOIN g ON g.site = w.site AND g.src = w.url WHERE depth < 7) SELECT site, url, min(depth)::INT AS depth FROM w GROUP BY ALL"""
 
+def _part_graph(spark, d):
+    """A link graph of the tables: sites are brands, pages their parts, links what an order lists next."""
+    part = table(spark, d, "part").select(F.col("p_partkey").alias("key"), F.col("p_brand").alias("site"))
+    line = table(spark, d, "lineitem")
+    ahead = F.lead("l_partkey").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_quantity"))
+    line = line.select(F.col("l_partkey").alias("key"), ahead.alias("next"), (((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100_000 + F.col("l_partkey")) * 100 + F.col("l_quantity").cast("long")).alias("pos"), F.col("l_quantity").alias("score")).where("next is not null")
+    at = lambda c: F.concat(F.lit("https://x.test/"), F.col(c).cast("string"))
+    other = part.select(F.col("key").alias("next"), F.col("site").alias("next_site"))
+    links = line.join(part, "key").join(other, "next").where("site = next_site").select("site", at("key").alias("url"), at("next").alias("href"), "pos", "score")
+    seeds = part.groupBy("site").agg(F.min("key").alias("a"), F.max("key").alias("b"))
+    seeds = seeds.select("site", F.posexplode(F.array("a", "b")).alias("seq", "key")).select("site", at("key").alias("url"), (100.0 - F.col("seq")).alias("score"), "seq")
+    return seeds, links, part.select("site", at("key").alias("url_key"))
+
+
+_GRAPH = """p AS (SELECT p_partkey AS key, p_brand AS site FROM part), n AS (SELECT l_partkey AS key, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity) AS next, ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 100 + l_quantity::BIGINT AS pos, l_quantity AS score FROM lineitem),
+ g AS MATERIALIZED (SELECT p.site, n.key, next, pos, score FROM n JOIN p ON p.key = n.key JOIN p AS o ON o.key = next AND o.site = p.site),
+ f AS MATERIALIZED (SELECT site, unnest([min(key), max(key)]) AS key, unnest([0, 1]) AS seq FROM p GROUP BY site)"""
+
+
+def part_levels(spark, d):
+    """Parts of each brand that links reach from its first and last one, level by level."""
+    seeds, links, known = _part_graph(spark, d)
+    rules = spark.createDataFrame([], "site string, seq int, allow boolean, path string")
+    found = crawling.reach(seeds, links, known, rules, 3)
+    return found.groupBy("site", "depth").agg(F.count("*").alias("n"), F.sum(F.substring_index("url", "/", -1).cast("long")).alias("keys"))
+
+
+PART_LEVELS = f"""WITH RECURSIVE {_GRAPH}, w AS (SELECT site, key, 0 AS depth FROM f UNION SELECT g.site, g.next, depth + 1 FROM w JOIN g ON g.site = w.site AND g.key = w.key WHERE depth < 3),
+ m AS (SELECT site, key, min(depth)::INT AS depth FROM w GROUP BY ALL) SELECT site, depth, count(*) AS n, sum(key)::BIGINT AS keys FROM m GROUP BY ALL"""
+
+
+def part_tour(spark, d):
+    """The order in which a best-first crawl visits each brand's parts."""
+    return crawling.best_first(*_part_graph(spark, d), most=40).select("site", "turn", F.substring_index("url", "/", -1).cast("long").alias("part"), "depth")
+
+
+#: A queue in lists: each step takes the best entry that was not seen and adds what its page links to.
+PART_TOUR = f"""WITH RECURSIVE {_GRAPH}, o AS (SELECT site, key, next, arg_min(score, pos) AS score, min(pos) AS pos FROM g GROUP BY ALL),
+ l AS (SELECT site, key, list(struct_pack(u := next, s := score) ORDER BY pos) AS out FROM o GROUP BY ALL),
+ q AS (SELECT site, 0 AS n, 2 AS turns, []::BIGINT[] AS seen, list(struct_pack(s := seq - 100.0::DOUBLE, t := seq::BIGINT, u := key, d := 0) ORDER BY seq) AS held, NULL::STRUCT(s DOUBLE, t BIGINT, u BIGINT, d INTEGER) AS best FROM f GROUP BY site
+  UNION ALL SELECT site, n + 1, turns + len(more), list_append(seen, best.u), list_concat(rest, list_transform(more, lambda x, i: struct_pack(s := -(x.s - best.s / 100), t := (turns + i)::BIGINT, u := x.u, d := best.d + 1))), best
+  FROM (SELECT b.*, list_filter(CASE WHEN best.d < 7 THEN coalesce(out, []) ELSE [] END, lambda x: x.u <> best.u AND NOT list_contains(seen, x.u)) AS more FROM
+        (SELECT site, n, turns, seen, list_filter(held, lambda x: NOT list_contains(seen, x.u)) AS rest, list_min(list_filter(held, lambda x: NOT list_contains(seen, x.u))) AS best FROM q WHERE n < 40) b LEFT JOIN l ON l.site = b.site AND l.key = best.u) c
+  WHERE best IS NOT NULL)
+SELECT site, (n - 1)::BIGINT AS turn, best.u AS part, best.d::BIGINT AS depth FROM q WHERE n > 0"""
+
+
 NAMES = (
     "site_primary_phone", "phone_candidates", "email_candidates", "visible_text_stats", "page_titles", "longest_title", "most_common_value", "url_forms", "page_links", "exact_texts", "exact_links", "thin_pages", "seed_union",
-    "site_verify_score", "verify_urls", "term_scores", "corpus_text", "first_rows_win", "csv_escape", "crawl_reach",
+    "site_verify_score", "verify_urls", "term_scores", "corpus_text", "first_rows_win", "csv_escape", "crawl_reach", "part_levels", "part_tour",
 )
 QUERIES = {n: globals()[n] for n in NAMES}
 ORACLES = {n: globals()[n.upper()] for n in NAMES}
