@@ -53,6 +53,8 @@ SIGNS = "!$|(+@"
 MARKS = " \t\r\n.,;:?\"')[]{}<>«»“”‘’…*#%&"
 OPENING, CLOSING = "\"'([{<«“‘", ".,;:!?\"')]}>»”’…"
 SPACED = re.compile(rf"(?<!\S)[{re.escape(OPENING)}]*\S(?:\s+\S){{2,}}[{re.escape(CLOSING)}]*(?!\S)")
+#: Letters with one sign behind them, however often: its readings are those letters, and words of the sign's one letter.
+TAILED = re.compile(r"([^\W\d_]+)[.,;:]?([!$+@])\2*")
 RUN, RUNS = re.compile(r"(.)\1"), re.compile(r"(.)\1+")
 #: Characters between two looks for letters on which all paths agree.
 COMMIT = 256
@@ -348,6 +350,7 @@ class Scorer:
         single = {RUNS.sub(r"\1", f) for f in weights}
         self.single = {f[:4] for f in single if "~" not in f[:4]} | {f.rstrip("~") for f in single if "~" in f[:4]}
         self.short = {f.rstrip("~") for f in single if "~" in f[:4]}
+        self.one_letter = any(len(set(f.rstrip("~"))) == 1 for f in weights)
         self.nothing: set[str] = set()
         self.before: set[str] = set()
         self.hopeful = Memo(self._hopeful, REMEMBERED)
@@ -380,6 +383,9 @@ class Scorer:
         found: dict[str, float] = {}
         for token in set(text.lower().split()) - self.nothing - self.before:
             word = token if token.isalpha() else self.channel.core(token)
+            tailed = None if self.one_letter or word.isalpha() else TAILED.fullmatch(word)
+            if tailed and len(RUNS.sub(r"\1", tailed[1])) >= 4:  # as many letters as say whether a word may weigh
+                word = tailed[1]
             if word.isalpha() and not self.may_weigh(word):
                 self._nothing(token)
                 continue
