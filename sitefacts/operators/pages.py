@@ -193,24 +193,33 @@ def seeds(sites: DataFrame, sitemap: DataFrame) -> DataFrame:
     return start.unionByName(usual).unionByName(mapped).withColumn("depth", F.lit(0))
 
 
-def site_scores(sites: DataFrame, texts: DataFrame, structured: DataFrame) -> DataFrame:
-    """``site, score, accepted, marketplace`` of ``site, url``, page texts and structured hints.
+def verify_pages(sites: DataFrame, pages: DataFrame) -> DataFrame:
+    """Rows of ``pages`` (with ``site, page_seq, url``) that are a site's start page or its root, numbered ``n`` 0 and 1."""
+    wanted = sites.select("site", urls.url_key(F.col("url")).alias("k"), F.lit(0).alias("n"))
+    wanted = wanted.unionByName(sites.select("site", F.concat(urls.origin(F.col("url")), F.lit("/")).alias("k"), F.lit(1).alias("n"))).groupBy("site", "k").agg(F.min("n").alias("n"))
+    found = pages.withColumn("k", urls.url_key(F.col("url"))).join(wanted, ["site", "k"])
+    place = F.row_number().over(Window.partitionBy("site", "k").orderBy("page_seq"))
+    return found.withColumn("__place", place).where("__place = 1").drop("__place", "k")
 
-    Signals are counted page by page, in the first ``VERIFY_CUT`` characters of each, and summed, so a site of any size
-    needs no joined text.
+
+def site_scores(sites: DataFrame, pages: DataFrame, structured: DataFrame) -> DataFrame:
+    """``site, score, accepted, marketplace`` of ``site, url``, pages with ``title, text``, and structured hints.
+
+    Signals are counted over the titles and the first ``VERIFY_CUT`` characters of the start page and the root, as one text.
     """
-    counts = {"identity": vocab.IDENTITY, "operations": vocab.OPERATIONS, "detail": vocab.DETAIL, "noise": vocab.NOT_LODGING}
-    text = F.left("text", F.lit(vocab.VERIFY_CUT))
-    each = texts.select("site", *(count_of(text, p).alias(c) for c, p in counts.items())).groupBy("site").agg(*(F.sum(c).alias(c) for c in counts))
-    rows = sites.join(each, "site", "left").join(structured, "site", "left").fillna(0, list(counts)).fillna(False, ["has_name", "has_address", "has_phone"])
+    said = F.struct("n", F.concat("title", F.lit("\n"), F.left("text", F.lit(vocab.VERIFY_CUT))).alias("said"))
+    texts = verify_pages(sites, pages).groupBy("site").agg(F.array_sort(F.collect_list(said)).alias("x")).select("site", F.array_join(F.transform("x", lambda x: x["said"]), "\n\n").alias("text"))
+    rows = sites.join(texts, "site", "left").join(structured, "site", "left").fillna(False, ["has_name", "has_address", "has_phone"])
     host = swap(urls.host(F.col("url")), r"^www\.", "")
     points = lambda when, n: F.when(when, n).otherwise(0)
+    signals = lambda pattern, most: F.least(F.lit(most), F.coalesce(count_of(F.col("text"), pattern), F.lit(0)))
     score = (
-        points(F.col("has_name"), 8) + points(F.col("has_address") & F.col("has_phone"), 2) + points(has(host, vocab.IDENTITY), 2)
-        + F.least(F.lit(5), "identity") + F.least(F.lit(5), "operations") + F.least(F.lit(4), "detail") - points((F.col("noise") > 0) & ~F.col("has_name"), 3)
+        points(F.col("has_name"), 8) + points(F.col("has_address") & F.col("has_phone"), 2) + points(has(host, vocab.IDENTITY), 2) + signals(vocab.IDENTITY, 5)
+        + signals(vocab.OPERATIONS, 5) + signals(vocab.DETAIL, 4) - points((signals(vocab.NOT_LODGING, 1) > 0) & ~F.col("has_name"), 3)
     ).cast("long")
     market = has(urls.host(F.col("url")), vocab.MARKETPLACE)
-    return rows.select("site", score.alias("score"), ((score >= 7) & ~market).alias("accepted"), market.alias("marketplace"))
+    scored = rows.select("site", score.alias("score"), market.alias("marketplace"), F.col("text").isNotNull().alias("opened"))
+    return scored.select("site", "score", ((F.col("score") >= 7) & ~F.col("marketplace") & F.col("opened")).alias("accepted"), "marketplace")
 
 
 def verify_urls(sites: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sitefacts.functions import checks, urls, vocab
 from sitefacts.functions.rx import count_of, has
-from sitefacts.operators import contacts, crawling, facts, gaps, pages
+from sitefacts.operators import contacts, crawling, facts, gaps, jsonld, pages
 from sitefacts.operators.review import first_submissions
 from sitefacts.plans import twin
 from sitefacts.sources.tables import table
@@ -160,13 +160,21 @@ SELECT site, {twin.url_key('url')} AS url, 100.0::DOUBLE AS score, 0::BIGINT AS
 
 
 def site_verify_score(spark, d):
-    sites = site_pages(spark, d).groupBy("site").agg(F.min_by("url", "page_seq").alias("url"))
-    none = sites.select("site", *(F.lit(False).alias(c) for c in ("has_name", "has_address", "has_phone")))
-    return pages.site_scores(sites, page_texts(spark, d), none)
-
-
-_SUMS = ", ".join(f"sum({twin.count(f'left(text, {vocab.VERIFY_CUT})', p)}) AS {n}" for n, p in (("i", vocab.IDENTITY), ("o", vocab.OPERATIONS), ("de", vocab.DETAIL), ("no", vocab.NOT_LODGING)))
-SITE_VERIFY_SCORE = f"""WITH {_TEXTS}, c AS (SELECT site, {_SUMS} FROM t GROUP BY site),
+    own = site_pages(spark, d)
+    sites = own.groupBy("site").agg(F.min_by("url", "page_seq").alias("url"))
+    html = F.col("html")
+    shown = own.select("site", "page_seq", "url", pages.title_of(html).alias("title"), pages.visible_text(html).alias("text"))
+    found = jsonld.hints(jsonld.nodes(jsonld.scripts(pages.verify_pages(sites, own))))
+    hints = found.select("site", *((F.col(c) != "").alias(f"has_{c}") for c in ("name", "address", "phone")))
+    return pages.site_scores(sites, shown, hints)
+
+
+_SIGNALS = ", ".join(f"{twin.count('text', p)} AS {n}" for n, p in (("i", vocab.IDENTITY), ("o", vocab.OPERATIONS), ("de", vocab.DETAIL), ("no", vocab.NOT_LODGING)))
+#: No page of the table holds structured data.
+SITE_VERIFY_SCORE = f"""WITH {_SITE}, b AS (SELECT site, url FROM s QUALIFY row_number() OVER (PARTITION BY site ORDER BY page_seq) = 1),
+ v AS (SELECT site, k, min(n) AS n FROM (SELECT site, {twin.url_key('url')} AS k, 0 AS n FROM b UNION ALL SELECT site, {twin.origin('url')} || '/', 1 FROM b) GROUP BY ALL),
+ p AS (SELECT v.site, n, {twin.title('html')} || chr(10) || left({twin.visible('html')}, {vocab.VERIFY_CUT}) AS said FROM s JOIN v ON v.site = s.site AND v.k = {twin.url_key('s.url')} QUALIFY row_number() OVER (PARTITION BY v.site, k ORDER BY page_seq) = 1),
+ t AS (SELECT site, string_agg(said, chr(10) || chr(10) ORDER BY n) AS text FROM p GROUP BY site), c AS (SELECT site, {_SIGNALS} FROM t),
  x AS (SELECT site, (CASE WHEN {twin.has("regexp_replace(site, '^www\\.', '')", vocab.IDENTITY)} THEN 2 ELSE 0 END + least(5, i) + least(5, o) + least(4, de) - CASE WHEN no > 0 THEN 3 ELSE 0 END)::BIGINT AS score, {twin.has('site', vocab.MARKETPLACE)} AS marketplace FROM c)
 SELECT site, score, score >= 7 AND NOT marketplace AS accepted, marketplace FROM x"""
 

@@ -12,7 +12,6 @@ from sitefacts.functions import checks, urls
 from sitefacts.functions.rx import first_wins, has, rx, trim
 from sitefacts.operators import images, pages, review
 from sitefacts.sources import files
-from sitefacts.streaming import reviews
 
 
 def one(spark, column):
@@ -89,19 +88,7 @@ def test_contacts_go_there_and_back(spark):
     assert one(spark, checks.contact_lines(checks.contacts_of(F.lit(text)))) == text
 
 
-def test_first_submission_wins_in_a_stream(spark, tmp_path):
-    schema = "site_id string, submitted_at timestamp, hotel_name string"
-    place = str(tmp_path / "in")
-    put = lambda rows: spark.createDataFrame(rows, "site_id string, at string, hotel_name string").select("site_id", F.to_timestamp("at").alias("submitted_at"), "hotel_name").coalesce(1).write.mode("append").parquet(place)
-    run = lambda: reviews.completed(reviews.submissions(spark, place, schema, 1), str(tmp_path / "done"), str(tmp_path / "state")).awaitTermination(120)
-    put([("a", "2026-01-02 00:00:00", "late"), ("a", "2026-01-01 00:00:00", "first"), ("b", "2026-01-01 00:00:00", "b1")])
-    run()
-    put([("a", "2025-01-01 00:00:00", "after the fact"), ("c", "2026-01-01 00:00:00", "c1")])
-    run()
-    done = spark.read.parquet(str(tmp_path / "done"))
-    assert sorted((r.site_id, r.hotel_name) for r in done.collect()) == [("a", "first"), ("b", "b1"), ("c", "c1")]
-    sites = spark.createDataFrame([("a", "pending_review"), ("z", "pending_review")], "site_id string, status string")
-    assert sorted((r.site_id, r.status, r.serves_final) for r in reviews.status(sites, done).collect()) == [("a", "completed", True), ("z", "pending_review", False)]
+def test_first_submission_wins_in_a_batch(spark):
     batch = review.first_submissions(spark.createDataFrame([("a", 2), ("a", 1)], "site_id string, submitted_at int"))
     assert batch.first().submitted_at == 1
 
@@ -153,11 +140,24 @@ def test_first_of_equal_keys_wins_in_order(spark, items):
     assert [tuple(x) for x in one(spark, first_wins(given_, lambda x: F.lower(x["v"])))] == expected
 
 
-def test_verification_reads_the_first_characters_of_a_page(spark):
+def test_verification_reads_start_and_root_with_their_titles(spark):
     from sitefacts.functions import vocab
 
     far = "x " * (vocab.VERIFY_CUT // 2) + "hotel resort suites check-in reservations"
-    sites = spark.createDataFrame([("a", "https://plain.test/")], "site string, url string")
+    near = far[4:200] + far[-50:]
+    sites = spark.createDataFrame([("a", "https://plain.test/start/?x=1#top")], "site string, url string")
     none = sites.select("site", *(F.lit(False).alias(c) for c in ("has_name", "has_address", "has_phone")))
-    score = lambda text: pages.site_scores(sites, spark.createDataFrame([("a", 0, text)], "site string, page_seq long, text string"), none).first().score
-    assert score(far) == 0 < score(far[4:200] + far[-50:])
+
+    def score(*rows):
+        own = spark.createDataFrame([("a", k, *r) for k, r in enumerate(rows)], "site string, page_seq long, url string, title string, text string")
+        return pages.site_scores(sites, own, none).select("score", "accepted").first()
+
+    start, root, other = "https://plain.test/start?x=1", "https://plain.test/", "https://plain.test/rooms"
+    assert score((start, "", far)) == (0, False) and score((start, "", near)).score > 0
+    assert score((other, "", near), (start, "x", "")) == (0, False)  # no other page counts
+    assert score((root, "", near)).score == score((start, "", near)).score
+    assert score((start, "Hotel", ""), (root, "Resort", "inn")).score == 3  # titles count too
+    assert score((start, "bed", "and"), (root, "breakfast", "")).score == 1  # as one text
+    assert score((start, "", "hotel"), (start, "", "hotel hotel")).score == 1  # a page is read once
+    assert score((root, "hotel inn", "lodge motel resort rooms check-in amenities reservations"), (start, "", "pool spa parking")).accepted
+    assert pages.site_scores(sites, spark.createDataFrame([], "site string, page_seq long, url string, title string, text string"), none).first().accepted is False
