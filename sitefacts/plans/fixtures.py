@@ -1,10 +1,13 @@
-"""Small invented inputs, the same rows for a Spark frame and for SQL text."""
+"""Inputs of text queries: a few invented rows, and rows made of the given tables, the same for a Spark frame and for SQL text."""
 
 from __future__ import annotations
 
 import json
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sitefacts.sources.tables import table
 
 _PET = "Pets\nPet policy: Are pets allowed? Dogs are welcome up to 40 pounds.\nA fee of $75 per stay applies to every room with an animal.\nParking\nValet parking is 20 USD."
 _DINING = "Blue Door Restaurant\nOpen daily from 6\nMo-Fr 7:00-10:30, 17:00-22:00 | Sa 08:00-11:00\nAvocado toast with egg $14\nHouse Burger - $18.50\nPet fee $20 breakfast\nRooms and suites\nEnd of page"
@@ -75,13 +78,78 @@ TABLES: dict[str, tuple[str, list[tuple]]] = {
 }
 
 
-def frame(spark: SparkSession, name: str) -> DataFrame:
+def _cases(key: str, *parts: str) -> str:
+    """One of the expressions for each remainder of ``key``."""
+    return f"CASE {key} % {len(parts)} " + " ".join(f"WHEN {k} THEN {x}" for k, x in enumerate(parts)) + " END"
+
+
+def _lines(*parts: str) -> str:
+    return f"concat_ws(chr(10), {', '.join(parts)})"
+
+
+def _only(key: str, of: int, text: str) -> str:
+    return f"CASE WHEN {key} % {of} <> 0 THEN {text} END"
+
+
+def _s(x: str) -> str:
+    return f"cast({x} as string)"
+
+
+def _phone(key: str) -> str:
+    return f"'(' || {_s(f'200 + {key} % 700')} || ') 555-' || lpad({_s(f'{key} % 10000')}, 4, '0')"
+
+
+_P, _C = "p_partkey", "c_custkey"
+_HOST = f"'https://h' || {_s(f'{_P} % 50')} || '.test'"
+_MAP = f"'https://m' || {_s('p_size')} || '.test'"
+
+#: Rows made of given tables, as expressions that mean the same to both engines.
+FROM_TABLES: dict[str, tuple[str, list[str]]] = {
+    "fx_values": ("part", [f"1000 + {_P}", _cases(
+        _P, _phone(_P), f"'+1 ' || {_s(f'200 + {_P} % 700')} || ' 555 ' || lpad({_s(f'{_P} % 10000')}, 4, '0')", f"'call ' || {_s(_P)} || ' days ahead'", f"'desk' || {_s(_P)} || '@quay' || {_s(f'{_P} % 9')} || '.test'",
+        f"'logo' || {_s(_P)} || '@2x.png'", f"{_s(_P)} || ' Oak Street, Springfield, IL ' || {_s(f'10000 + {_P} % 80000')}", f"{_s(_P)} || ' Elm Avenue'", f"{_s(f'1 + {_P} % 12')} || ':' || lpad({_s(f'{_P} % 60')}, 2, '0') || ' p.m.'",
+        f"{_s(f'{_P} % 30')} || ':99'", f"{_HOST} || '/x?y=' || {_s(_P)}", "'ftp://' || p_brand", "p_name || ' - Rooms & Suites | Quay ' || p_brand", "'Home'", f"'Mo-Fr 7:00-' || {_s(f'8 + {_P} % 3')} || ':30,17:00-22:00 | Sa 08:00-11:00'",
+        "'Deluxe King Room'", f"'Item ' || {_s(f'{_P} % 9')} || ' Queen Suite'", "'Rooms & Suites ' || p_type || ' Suite'", f"'guest photo 2 of ' || {_s(_P)} || ' Link to Larger Image ' || p_name", "'say \"' || p_name || '\", twice'", "'line' || chr(10) || p_name",
+        "p_name || '.JPG'", f"'dir/' || p_name || ' (v' || {_s(f'{_P} % 5')} || ')?.webp'", "'  ' || p_name || '   ' || p_type || ' '", "'No crawlable HTML pages were retrieved from ' || p_name", f"'mailto:info' || {_s(_P)} || '@quay.test'", "p_type || ' Restaurant'", "'http://'", "p_name",
+    )]),
+    "fx_urls": ("part", [
+        f"1000 + {_P}", f"{_HOST} || " + _cases(_P, "'/rooms/index.html?x=1#top'", "'/rooms/'", "''", "'/a/b'", f"'/p' || {_s(_P)}"),
+        _cases(f"({_P} + p_size)", "'deluxe'", "'/dining?m=1#a'", "'//cdn.test/p.jpg'", "'?page=2'", "'#top'", f"{_HOST} || ':443/contact//'", "'mailto:x@a.test'", "'/IMG/Room-King.JPG'", "'menu.pdf'", "'https://other.test/rooms'", "'/sprite/a.png'", "'gallery/photo.webp?w=1'", f"'/amenities/' || {_s(_P)}"),
+    ]),
+    "fx_texts": ("customer", ["'c' || " + _s("c_nationkey"), f"1000 + {_C}", _lines(
+        f"'Call ' || {_phone(_C)} || ' or mail ' || " + _cases(_C, f"'desk' || {_s(_C)}", "'reservations'", "'x'") + f" || '@quay' || {_s(f'{_C} % 40')} || '.test, fax ' || {_phone(f'({_C} + 1)')}",
+        _only(_C, 3, f"{_s(f'1 + {_C} % 900')} || ' Oak Street , Springfield, IL ' || {_s(f'10000 + {_C} % 80000')}"),
+        _only(_C, 4, f"'Check-in: ' || {_s(f'1 + {_C} % 11')} || ':00 PM and check-out ' || {_s(f'1 + {_C} % 11')} || ' AM.'"),
+        _cases(_C, "'Heated pool, pool bar and pool deck. Free Wi-Fi.'", "'No gym. Parking is not available, spa and sauna.'", "'Wheelchair ramps, airport shuttle and a fitness center.'", "'Concierge, laundry and room service.'", "'c_mktsegment ' || c_mktsegment"),
+        _only(_C, 5, "'Pets'"), _only(_C, 5, f"'Pet policy: Are pets allowed? Dogs are welcome up to ' || {_s(f'20 + {_C} % 60')} || ' pounds.'"), _only(_C, 2, f"'A fee of $' || {_s(f'25 + {_C} % 100')} || ' per stay applies to every room with an animal.'"), _only(_C, 7, "'Parking'"),
+        _only(_C, 6, "'Cancellation policy'"), _only(_C, 6, f"'Reservations may be cancelled up to ' || {_s(f'{_C} % 72')} || ' hours before arrival without charge.'"), _only(_C, 8, f"'Smoking policy: this is a smoke-free hotel and a fee of $' || {_s(f'100 + {_C} % 200')} || ' applies.'"),
+        _only(_C, 3, "'Blue Door Restaurant'"), _only(_C, 3, f"'Open daily from ' || {_s(f'5 + {_C} % 5')}"), _only(_C, 2, f"'Avocado toast with egg $' || {_s(f'8 + {_C} % 9')}"), _only(_C, 5, f"'House Burger - $' || {_s(f'10 + {_C} % 9')} || '.50'"), "'Rooms and suites'",
+        _cases(_C, "'Deluxe King Room'", "'- Premier Queen Suite'", "'Standard Double'", "'Photo gallery king'"), "'Classic Twin Studio'",
+    )]),
+    "fx_robots": ("part", ["'b' || " + _s("p_size"), _P, _cases(f"({_P} % 11 + p_size)", "'User-agent: *'", f"'Disallow: /p' || {_s(f'{_P} % 40')}", f"'Allow: /p' || {_s(f'{_P} % 40')} || '/open # yes'", "'# note'", f"'Disallow: q' || {_s(f'{_P} % 40')} || '?x=1'", "'User-agent: bot'", "'USER-AGENT: *'", f"'Disallow: /p' || {_s(f'{_P} % 40')} || '/'")]),
+    "fx_targets": ("customer", ["'b' || " + _s(f"{_C} % 50"), f"'https://b' || {_s(f'{_C} % 50')} || '.test/' || " + _cases(_C, f"'p' || {_s(f'{_C} % 41')} || '/z'", f"'p' || {_s(f'{_C} % 41')} || '/open/z'", f"'q' || {_s(f'{_C} % 41')} || '/z'", "''") + f" || {_s(_C)}"]),
+    "fx_sitemap": ("part", ["'m' || " + _s("p_size"), _MAP, f"lpad({_s(_P)}, 9, '0')", f"'<urlset><url><loc>' || {_MAP} || '/a' || {_s(f'{_P} % 300')} || '</loc></url><LOC> ' || {_MAP} || '/b' || {_s(f'{_P} % 30')} || '?x=1 </LOC><loc>https://other.test/c</loc><loc>' || {_MAP} || '/d.pdf</loc></urlset>'"]),
+    "fx_titles": ("part", ["'t' || " + _s("p_size"), _P, "p_name || ' | ' || p_brand", _cases(_P, "'Home'", "''", "p_type", "p_brand || ' - Quay'"), _cases(_P, "''", "p_brand", "' '")]),
+    "fx_images": ("part", ["'q' || " + _s("p_size"), _P, f"'https://q' || {_s('p_size')} || '.test/' || " + _cases(_P, "'dining'", "'rooms'", "''"), "0", f"'https://q' || {_s('p_size')} || '.test/img' || {_s(f'{_P} % 200')} || " + _cases(_P, "'.jpg?x=1'", "'.PNG'", "'.svg'", "'.webp#f'", "'/icon/b.png'"), _cases(_P, "p_name", "'Item 3 King bed'", "''"), _cases(_P, "''", "p_type"), _cases(_P, "''", "'photo 1 of 4 by the bar'", "p_brand", "'the  pool'")]),
+    "fx_uploads": ("part", ["'u' || " + _s("p_size"), "'dir/' || p_name || ' photo?.png'", f"{_P} * 5000", "'t' || " + _s(_P)]),
+    "fx_sites": ("customer", ["'k' || " + _s(_C), _cases(_C, f"'r' || {_s(_C)}", "NULL"), f"'o' || {_s(_C)}", _cases(_C, "'pending_review'", "'completed'", "'completed'"), f"'A' || {_s(_C)}", _cases(_C, "NULL", f"'B' || {_s(_C)}")]),
+    "fx_requests": ("customer", ["'k' || " + _s(_C), _cases(_C, f"'r' || {_s(_C)}", f"'o' || {_s(_C)}", "''")]),
+}
+
+
+def frame(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """The invented rows, and those that the given tables' rows make."""
     columns, rows = TABLES[name]
-    return spark.createDataFrame(rows, columns)
+    made = spark.createDataFrame(rows, columns)
+    if name not in FROM_TABLES:
+        return made
+    source, expressions = FROM_TABLES[name]
+    kinds = [c.split() for c in columns.split(", ")]
+    return made.unionByName(table(spark, d, source).select(*(F.expr(e).cast(k).alias(c) for e, (c, k) in zip(expressions, kinds))))
 
 
 def sql(name: str) -> str:
-    """The rows as a SQL table expression named ``name``."""
+    """The same rows as a SQL table expression named ``name``."""
     columns, rows = TABLES[name]
     names, kinds = zip(*(c.split() for c in columns.split(", ")))
     kinds = [{"string": "VARCHAR", "long": "BIGINT", "int": "INTEGER", "double": "DOUBLE"}[k] for k in kinds]
@@ -90,4 +158,8 @@ def sql(name: str) -> str:
         text = "NULL" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else repr(v)
         return f"{text}::{kind}"
 
-    return f"(VALUES {', '.join('(' + ', '.join(map(cell, r, kinds)) + ')' for r in rows)}) AS {name}({', '.join(names)})"
+    made = f"VALUES {', '.join('(' + ', '.join(map(cell, r, kinds)) + ')' for r in rows)}"
+    if name in FROM_TABLES:
+        source, expressions = FROM_TABLES[name]
+        made += f" UNION ALL SELECT {', '.join(f'({e})::{k}' for e, k in zip(expressions, kinds))} FROM {source}"
+    return f"({made}) AS {name}({', '.join(names)})"

@@ -1,4 +1,4 @@
-"""Queries over invented rows: one for each operator that the given tables cannot exercise."""
+"""Queries over rows made of the given tables, and over invented ones that they do not hold."""
 
 from __future__ import annotations
 
@@ -16,7 +16,7 @@ _V = f"(SELECT id, v, {twin.trim('v')} AS t FROM {sql('fx_values')})"
 
 def plausible_values(spark, d):
     ok = {"phone": checks.phone, "email": checks.email, "address": checks.address, "time": checks.time, "url": urls.plausible}
-    return frame(spark, "fx_values").select("id", *(f(F.col("v")).alias(n) for n, f in ok.items()))
+    return frame(spark, d, "fx_values").select("id", *(f(F.col("v")).alias(n) for n, f in ok.items()))
 
 
 PLAUSIBLE_VALUES = f"""SELECT id, {twin.phone_ok('v')} AS phone, t = '' OR {twin.has('t', vocab.PLAUSIBLE_EMAIL)} AS email, t = '' OR ({twin.has('t', vocab.STREET)} AND {twin.has('t', vocab.ZIP)}) AS address,
@@ -24,7 +24,7 @@ PLAUSIBLE_VALUES = f"""SELECT id, {twin.phone_ok('v')} AS phone, t = '' OR {twin
 
 
 def normal_values(spark, d):
-    return frame(spark, "fx_values").select(
+    return frame(spark, d, "fx_values").select(
         "id", checks.normal_phone(F.col("v")).alias("phone"), checks.normal_time(F.col("v")).alias("time"), key(F.col("v")).alias("text_key"), squeeze(F.col("v")).alias("squeezed"), urls.with_scheme(F.col("v")).alias("input_url"), checks.title(F.col("v")).alias("title"), checks.generic_title(F.col("v")).alias("generic"),
         checks.hours(F.col("v")).alias("hours"), facts.room_name(F.col("v")).alias("room"), facts.is_room(F.col("v")).alias("is_room"), checks.image_text(F.col("v")).alias("image_text"), checks.clean_email(F.col("v")).alias("ld_email"), checks.bad_email(F.col("v")).alias("bad_email"),
     )
@@ -39,7 +39,7 @@ NORMAL_VALUES = f"""SELECT id, CASE WHEN length({twin.swap('v', '[^0-9+]', '', F
 
 
 def file_values(spark, d):
-    return frame(spark, "fx_values").select("id", urls.safe_basename(F.col("v")).alias("basename"), urls.mime_type(F.col("v")).alias("mime"), checks.csv_field(F.col("v")).alias("csv"), checks.public_error(F.col("v")).alias("error"))
+    return frame(spark, d, "fx_values").select("id", urls.safe_basename(F.col("v")).alias("basename"), urls.mime_type(F.col("v")).alias("mime"), checks.csv_field(F.col("v")).alias("csv"), checks.public_error(F.col("v")).alias("error"))
 
 
 FILE_VALUES = f"""SELECT id, left(regexp_replace(regexp_replace(v, '(?s)^.*/', ''), '[^A-Za-z0-9_.\\-()+ ]', '_', 'g'), 120) AS basename, CASE {" ".join(f"WHEN ends_with(lower(v), '.{e}') THEN '{m}'" for e, m in vocab.MIME)} ELSE 'application/octet-stream' END AS mime,
@@ -48,7 +48,7 @@ FILE_VALUES = f"""SELECT id, left(regexp_replace(regexp_replace(v, '(?s)^.*/', '
 
 def resolved_urls(spark, d):
     page, abs_ = F.col("page"), urls.resolve(F.col("href"), F.col("page"))
-    return frame(spark, "fx_urls").select("id", abs_.alias("abs"), urls.same_origin(abs_, page).alias("own"), urls.is_asset(abs_).alias("asset"), urls.is_photo(abs_).alias("photo"), urls.url_key(abs_).alias("url_key"), urls.image_key(abs_).alias("image_key"), urls.link_score(abs_, F.col("href")).alias("score"), urls.child_priority(urls.link_score(abs_, F.col("href")), F.lit(38.0)).alias("priority"))
+    return frame(spark, d, "fx_urls").select("id", abs_.alias("abs"), urls.same_origin(abs_, page).alias("own"), urls.is_asset(abs_).alias("asset"), urls.is_photo(abs_).alias("photo"), urls.url_key(abs_).alias("url_key"), urls.image_key(abs_).alias("image_key"), urls.link_score(abs_, F.col("href")).alias("score"), urls.child_priority(urls.link_score(abs_, F.col("href")), F.lit(38.0)).alias("priority"))
 
 
 _FOLDER = f"CASE WHEN {twin.path('page')} = '' THEN '/' ELSE regexp_replace({twin.path('page')}, '[^/]*$', '') END"
@@ -61,7 +61,7 @@ SELECT id, abs, coalesce({twin.origin('abs')} = {twin.origin('page')}, false) AS
 
 
 def best_emails(spark, d):
-    return contacts.best_email(frame(spark, "fx_texts"))
+    return contacts.best_email(frame(spark, d, "fx_texts"))
 
 
 BEST_EMAILS = f"""WITH m AS (SELECT site, page_seq, m, generate_subscripts(m, 1) AS pos FROM (SELECT site, page_seq, {twin.every('text', vocab.EMAIL)} AS m FROM {sql('fx_texts')})), e AS (SELECT site, page_seq, pos, {twin.swap('m[pos]', '[),.;:]+$', '')} AS email FROM m),
@@ -70,7 +70,7 @@ SELECT site, email, CASE WHEN other THEN 0.72 ELSE 0.86 END::DOUBLE AS confidenc
 
 
 def address_candidates(spark, d):
-    return contacts.addresses(frame(spark, "fx_texts"))
+    return contacts.addresses(frame(spark, d, "fx_texts"))
 
 
 ADDRESS_CANDIDATES = f"""WITH m AS (SELECT site, page_seq, m, generate_subscripts(m, 1) AS pos FROM (SELECT site, page_seq, {twin.every('text', vocab.ADDRESS, 1)} AS m FROM {sql('fx_texts')})), c AS (SELECT site, page_seq, pos, {twin.trim(twin.swap(twin.squeeze('m[pos]'), r'\s+,', ','))} AS value FROM m),
@@ -80,7 +80,7 @@ SELECT site, n, CASE WHEN n = 1 THEN 'Primary address' ELSE 'Additional address
 
 def text_facts(spark, d):
     t = F.col("text")
-    rows = frame(spark, "fx_texts").select("site", "page_seq", facts.check_in(t).alias("check_in"), facts.check_out(t).alias("check_out"), F.array_join(facts.services(t), "|").alias("services"), facts.amenity_scores(t).alias("m"))
+    rows = frame(spark, d, "fx_texts").select("site", "page_seq", facts.check_in(t).alias("check_in"), facts.check_out(t).alias("check_out"), F.array_join(facts.services(t), "|").alias("services"), facts.amenity_scores(t).alias("m"))
     return rows.select("site", "page_seq", "check_in", "check_out", "services", *(F.element_at("m", a).alias(a) for a in vocab.AMENITIES))
 
 
@@ -89,7 +89,7 @@ TEXT_FACTS = f"""SELECT site, page_seq, {twin.trim(twin.first('text', vocab.CHEC
 
 
 def room_types(spark, d):
-    return frame(spark, "fx_texts").select("site", "page_seq", F.posexplode(facts.rooms(F.col("text"))).alias("n", "room"))
+    return frame(spark, d, "fx_texts").select("site", "page_seq", F.posexplode(facts.rooms(F.col("text"))).alias("n", "room"))
 
 
 _IS = lambda v: f"({twin.has(v, vocab.SUITE_WORDS)} AND {twin.has(v, vocab.ROOM_NAME)} AND NOT {twin.has(v, vocab.ROOM_NOISE)} AND NOT {twin.has(v, vocab.ROOM_PROSE)} AND NOT {twin.has(v, r'[|]|[0-9]{3,}|[.!?]')} AND NOT regexp_matches({v}, '^\\s*[•*-]') AND length({v}) BETWEEN 4 AND 70 AND len(string_split_regex({v}, '\\s+')) <= 7)"
@@ -100,7 +100,7 @@ ROOM_TYPES = f"""WITH a AS (SELECT site, page_seq, list_concat(string_split(text
 def policy_blocks(spark, d):
     t = F.col("text")
     kinds = {"pet": blocks.pet_policy(t), "cancellation": blocks.policy_block(t, vocab.CANCEL_LABEL, vocab.CANCEL_SIGNAL), "smoking": blocks.policy_block(t, vocab.SMOKE_LABEL, vocab.SMOKE_SIGNAL)}
-    return frame(spark, "fx_texts").select("site", "page_seq", F.inline(F.array(*(F.struct(F.lit(k).alias("kind"), b["value"].alias("value"), b["confidence"].alias("confidence")) for k, b in kinds.items()))))
+    return frame(spark, d, "fx_texts").select("site", "page_seq", F.inline(F.array(*(F.struct(F.lit(k).alias("kind"), b["value"].alias("value"), b["confidence"].alias("confidence")) for k, b in kinds.items()))))
 
 
 def _policy(kind, label, signal):
@@ -120,7 +120,7 @@ POLICY_BLOCKS = " UNION ALL ".join(f"SELECT * FROM {_policy(*k)}" for k in (("pe
 
 
 def policy_answers(spark, d):
-    rows = frame(spark, "fx_texts")
+    rows = frame(spark, d, "fx_texts")
     return rows.select("site", "page_seq", *(blocks.policy_answer(k, F.col("text")).alias(k) for k in vocab.ANSWER_SIGNAL))
 
 
@@ -129,7 +129,7 @@ POLICY_ANSWERS = f"WITH a AS (SELECT site, page_seq, {_ANSWER} AS a FROM {sql('f
 
 
 def dining_blocks(spark, d):
-    return frame(spark, "fx_texts").select("site", "page_seq", F.posexplode(blocks.dining_blocks(F.col("text"))).alias("n", "block"))
+    return frame(spark, d, "fx_texts").select("site", "page_seq", F.posexplode(blocks.dining_blocks(F.col("text"))).alias("n", "block"))
 
 
 DINING_BLOCKS = f"""WITH l AS (SELECT site, page_seq, list_filter(list_transform(string_split_regex(text, '\\n+'), lambda x: {twin.trim('x')}), lambda x: x <> '') AS l FROM {sql('fx_texts')}), s AS (SELECT site, page_seq, l, unnest(range(1, len(l) + 1)) AS i FROM l), t AS (SELECT * FROM s WHERE {twin.has('l[i]', vocab.DINING_START)}),
@@ -139,7 +139,7 @@ SELECT site, page_seq, (row_number() OVER (PARTITION BY site, page_seq ORDER BY
 
 
 def menu_items(spark, d):
-    return frame(spark, "fx_texts").select("site", "page_seq", F.posexplode(blocks.menu_items(F.col("text"))).alias("n", "item"))
+    return frame(spark, d, "fx_texts").select("site", "page_seq", F.posexplode(blocks.menu_items(F.col("text"))).alias("n", "item"))
 
 
 MENU_ITEMS = f"""WITH a AS (SELECT site, page_seq, text, string_split_regex(text, '\\n|•') AS l, {twin.every('text', vocab.MENU_INLINE, 1, False)} AS x, {twin.every('text', vocab.MENU_INLINE, 3, False)} AS p FROM {sql('fx_texts')}),
@@ -149,12 +149,12 @@ MENU_ITEMS = f"""WITH a AS (SELECT site, page_seq, text, string_split_regex(text
 
 
 def venues(spark, d):
-    rows = frame(spark, "fx_texts").select("site", "page_seq", F.posexplode(blocks.venues(F.col("text"), F.array(F.lit("Blue Door"), F.lit("")))).alias("n", "x"))
+    rows = frame(spark, d, "fx_texts").select("site", "page_seq", F.posexplode(blocks.venues(F.col("text"), F.array(F.lit("Blue Door"), F.lit("")))).alias("n", "x"))
     return rows.select("site", "page_seq", "n", "x.restaurant_name", "x.hours", F.array_join("x.menu_items", "|").alias("menu_items"))
 
 
 def weak_venues(spark, d):
-    rows = frame(spark, "fx_values")
+    rows = frame(spark, d, "fx_values")
     return rows.select("id", facts.venue_is_weak(F.col("v"), F.lit(""), F.array(), F.array(F.lit("home"), F.lit("a-b"))).alias("bare"), facts.venue_is_weak(F.col("v"), F.lit("9:00"), F.array(), F.array(F.lit("home"))).alias("told"))
 
 
@@ -163,7 +163,7 @@ WEAK_VENUES = f"SELECT id, length(t) < 3 OR {twin.has('t', vocab.GENERIC_RESTAUR
 
 def first_seen(spark, d):
     """One row for each key, in order: the array form of keeping what came first."""
-    rows = frame(spark, "fx_texts").select("site", "page_seq", F.posexplode(first_wins(F.split("text", r"\s+"), F.lower, 12)).alias("n", "word"))
+    rows = frame(spark, d, "fx_texts").select("site", "page_seq", F.posexplode(first_wins(F.split("text", r"\s+"), F.lower, 12)).alias("n", "word"))
     return rows
 
 
@@ -172,7 +172,7 @@ SELECT site, page_seq, (row_number() OVER (PARTITION BY site, page_seq ORDER BY
 
 
 def robots_rules(spark, d):
-    return crawling.robots_rules(frame(spark, "fx_robots"))
+    return crawling.robots_rules(frame(spark, d, "fx_robots"))
 
 
 _ROBOTS = f"""r0 AS (SELECT site, line_no, {twin.trim("regexp_replace(line, '#.*$', '')")} AS t FROM {sql('fx_robots')}), r1 AS (SELECT site, line_no, lower({twin.trim("regexp_extract(t, '^([^:]+):', 1)")}) AS f, {twin.trim("regexp_extract(t, '^[^:]+:(.*)$', 1)")} AS v FROM r0),
@@ -182,31 +182,31 @@ ROBOTS_RULES = f"WITH {_ROBOTS} SELECT * FROM r"
 
 
 def robots_decision(spark, d):
-    return crawling.allowed(frame(spark, "fx_targets"), crawling.robots_rules(frame(spark, "fx_robots")))
+    return crawling.allowed(frame(spark, d, "fx_targets"), crawling.robots_rules(frame(spark, d, "fx_robots")))
 
 
 ROBOTS_DECISION = f"""WITH {_ROBOTS}, t AS (SELECT site, url, CASE WHEN {twin.path('url')} = '' THEN '/' ELSE {twin.path('url')} END AS p FROM {sql('fx_targets')}),
- b AS (SELECT t.site, t.url, arg_max(allow, length(path) * 1000 - seq) AS a FROM t LEFT JOIN r ON r.site = t.site AND (p = path OR starts_with(p, CASE WHEN path LIKE '%/' THEN path ELSE path || '/' END)) GROUP BY ALL)
+ b AS (SELECT t.site, t.url, arg_max(allow, length(path) * 1000000000 - seq) AS a FROM t LEFT JOIN r ON r.site = t.site AND (p = path OR starts_with(p, CASE WHEN path LIKE '%/' THEN path ELSE path || '/' END)) GROUP BY ALL)
 SELECT site, url, coalesce(a, true) AND {twin.origin('url')} IS NOT NULL AS allowed FROM b"""
 
 
 def sitemap_urls(spark, d):
-    return crawling.sitemap_urls(frame(spark, "fx_sitemap"))
+    return crawling.sitemap_urls(frame(spark, d, "fx_sitemap"))
 
 
 SITEMAP_URLS = f"""WITH m AS (SELECT site, origin, file, l, generate_subscripts(l, 1) AS i FROM (SELECT *, regexp_extract_all(xml, '(?i)<loc>\\s*([^<]+?)\\s*</loc>', 1) AS l FROM {sql('fx_sitemap')})), u AS (SELECT site, file, i, l[i] AS url FROM m WHERE {twin.origin('l[i]')} = {twin.origin('origin')} AND NOT {twin.has('l[i]', vocab.SITEMAP_ASSET)}),
  f AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY site, url ORDER BY file, i) = 1) SELECT site, url, row_number() OVER (PARTITION BY site ORDER BY file, i)::INT AS n FROM f QUALIFY n <= 80"""
 
 
-def _graph(spark):
-    return frame(spark, "fx_graph").select("site", F.col("src").alias("url"), "href", "score", "pos")
+def _graph(spark, d):
+    return frame(spark, d, "fx_graph").select("site", F.col("src").alias("url"), "href", "score", "pos")
 
 
 def crawl_levels(spark, d):
     rules = spark.createDataFrame([], "site string, seq int, allow boolean, path string")
     at = lambda c: F.concat(F.lit("https://x.test/"), c).alias(c)
-    links = _graph(spark).select("site", at("url"), at("href"))
-    return crawling.reach(frame(spark, "fx_graph_seeds").select("site", at("url")), links, frame(spark, "fx_graph_pages").select("site", at("url_key")), rules).select("site", F.substring_index("url", "/", -1).alias("url"), "depth")
+    links = _graph(spark, d).select("site", at("url"), at("href"))
+    return crawling.reach(frame(spark, d, "fx_graph_seeds").select("site", at("url")), links, frame(spark, d, "fx_graph_pages").select("site", at("url_key")), rules).select("site", F.substring_index("url", "/", -1).alias("url"), "depth")
 
 
 CRAWL_LEVELS = f"""WITH RECURSIVE g AS (SELECT * FROM {sql('fx_graph')} JOIN {sql('fx_graph_pages')} ON fx_graph_pages.site = fx_graph.site AND url_key = href), s AS (SELECT site, url, 0 AS depth FROM {sql('fx_graph_seeds')}),
@@ -214,12 +214,12 @@ CRAWL_LEVELS = f"""WITH RECURSIVE g AS (SELECT * FROM {sql('fx_graph')} JOIN {sq
 
 
 def crawl_best_first(spark, d):
-    return crawling.best_first(frame(spark, "fx_graph_seeds"), _graph(spark), frame(spark, "fx_graph_pages"))
+    return crawling.best_first(frame(spark, d, "fx_graph_seeds"), _graph(spark, d), frame(spark, d, "fx_graph_pages"))
 
 
 def html_pages(spark, d):
     h = F.col("html")
-    rows = frame(spark, "fx_html").select("site", "page_seq", pages.visible_text(h).alias("text"), pages.title_of(h).alias("title"), pages.og(h).alias("og"), (pages.prefer_rendered(F.lit("<body><p>x</p></body>"), h) == h).alias("rendered_wins"))
+    rows = frame(spark, d, "fx_html").select("site", "page_seq", pages.visible_text(h).alias("text"), pages.title_of(h).alias("title"), pages.og(h).alias("og"), (pages.prefer_rendered(F.lit("<body><p>x</p></body>"), h) == h).alias("rendered_wins"))
     return rows.select("site", "page_seq", "text", "title", "og.*", "rendered_wins")
 
 
@@ -233,14 +233,14 @@ HTML_PAGES = f"""SELECT site, page_seq, {twin.visible('html')} AS text, {twin.ti
 
 
 def html_links(spark, d):
-    return pages.links(frame(spark, "fx_html"))
+    return pages.links(frame(spark, d, "fx_html"))
 
 
 HTML_LINKS = "SELECT * FROM (VALUES ('h1', 0::BIGINT, 'https://h1.test/rooms', 0, 'https://h1.test/dining', 'Our menu', 6), ('h1', 0, 'https://h1.test/rooms', 4, 'https://h1.test/spa', 'Spa', 5), ('h1', 0, 'https://h1.test/rooms', 5, 'https://h1.test/contact/us', 'Go', 4)) t(site, page_seq, url, pos, href, anchor, score)"
 
 
 def html_images(spark, d):
-    return images.assets(images.tags(frame(spark, "fx_html")))
+    return images.assets(images.tags(frame(spark, d, "fx_html")))
 
 
 HTML_IMAGES = """SELECT * FROM (VALUES ('h1', 1::BIGINT, 0, 'https://h1.test/img/front.jpg', '', '', 'General'), ('h1', 1, 1, 'https://h1.test/img/King-Suite.jpg?w=3', 'King suite', 'The suite', 'Rooms'),
@@ -248,7 +248,7 @@ HTML_IMAGES = """SELECT * FROM (VALUES ('h1', 1::BIGINT, 0, 'https://h1.test/img
 
 
 def image_assets(spark, d):
-    return images.site_images(images.assets(frame(spark, "fx_images")))
+    return images.site_images(images.assets(frame(spark, d, "fx_images")))
 
 
 _ASSETS = f"""a AS (SELECT site, page_seq, pos, page_url, url, {twin.image_text('alt')} AS alt, {twin.image_text("CASE WHEN caption <> '' THEN caption ELSE title END")} AS caption, lower(regexp_replace(url, '[?#].*$', '')) AS k FROM {sql('fx_images')} WHERE {twin.has('url', vocab.PHOTO)} AND NOT {twin.has('url', vocab.NOT_PHOTO)}),
@@ -264,7 +264,7 @@ IMAGE_GROUPS = f"WITH {_ASSETS}, g AS (SELECT *, min(n) OVER (PARTITION BY site,
 
 
 def image_details(spark, d):
-    tags = frame(spark, "fx_images")
+    tags = frame(spark, d, "fx_images")
     shown = tags.select("site", (F.col("page_seq") * 10 + F.col("pos")).alias("n"), "url")
     return images.with_details(shown, image_assets(spark, d))
 
@@ -273,14 +273,14 @@ IMAGE_DETAILS = f"WITH {_ASSETS} SELECT x.site, x.page_seq * 10 + x.pos AS n, x.
 
 
 def probe_rows(spark, d):
-    return frame(spark, "fx_probe").select("id", report.probe_value(F.struct("format", "width", "height", "bytes")).alias("value"))
+    return frame(spark, d, "fx_probe").select("id", report.probe_value(F.struct("format", "width", "height", "bytes")).alias("value"))
 
 
 PROBE_ROWS = f"SELECT id, concat_ws('×', nullif(format, ''), nullif(width, 0)::VARCHAR, nullif(height, 0)::VARCHAR, nullif(bytes, 0)::VARCHAR) AS value FROM {sql('fx_probe')}"
 
 
 def jsonld_lodging(spark, d):
-    return jsonld.hints(jsonld.nodes(frame(spark, "fx_jsonld")))
+    return jsonld.hints(jsonld.nodes(frame(spark, d, "fx_jsonld")))
 
 
 _STEP = "CASE WHEN json_type(node) = 'ARRAY' THEN json_extract(node, '$[*]') WHEN json_type(node -> '$.\"@graph\"') = 'ARRAY' THEN json_extract(node, '$.\"@graph\"[*]') WHEN json_type(node -> '$.\"@graph\"') = 'OBJECT' THEN [node -> '$.\"@graph\"'] ELSE [node] END"
@@ -295,7 +295,7 @@ JSONLD_LODGING = f"""WITH {_NODES}, h AS (SELECT site, o, {twin.trim(f"coalesce(
 
 
 def jsonld_venues(spark, d):
-    rows = jsonld.venues(jsonld.nodes(frame(spark, "fx_jsonld"))).select("site", F.posexplode("dining").alias("n", "x"))
+    rows = jsonld.venues(jsonld.nodes(frame(spark, d, "fx_jsonld"))).select("site", F.posexplode("dining").alias("n", "x"))
     return rows.select("site", "n", "x.restaurant_name", "x.hours", F.array_join("x.menu_items", "|").alias("menu_items"))
 
 
@@ -304,7 +304,7 @@ JSONLD_VENUES = "SELECT * FROM (VALUES ('j1', 0, 'Salt Room', 'Mon-Fri 07:00 - 1
 
 def site_names(spark, d):
     structured = spark.createDataFrame([("s2", ""), ("s3", "Given name")], "site string, name string")
-    return pages.site_names(frame(spark, "fx_titles"), structured)
+    return pages.site_names(frame(spark, d, "fx_titles"), structured)
 
 
 SITE_NAMES = f"""WITH t AS (SELECT * FROM {sql('fx_titles')}), l AS (SELECT site, title FROM t QUALIFY row_number() OVER (PARTITION BY site ORDER BY length(title) DESC, page_seq) = 1),
@@ -315,7 +315,7 @@ SELECT l.site, CASE WHEN l.site = 's3' THEN 'Given name' WHEN n.v IS NOT NULL TH
 
 
 def contact_codec(spark, d):
-    rows = frame(spark, "fx_contacts").select("id", checks.contacts_of(F.col("text")).alias("c"))
+    rows = frame(spark, d, "fx_contacts").select("id", checks.contacts_of(F.col("text")).alias("c"))
     return rows.select("id", F.size("c").alias("n"), checks.contact_lines(F.col("c")).alias("lines"))
 
 
@@ -323,14 +323,14 @@ CONTACT_CODEC = "SELECT * FROM (VALUES (0::BIGINT, 4, 'Front desk | (415) 555-01
 
 
 def issue_prefix(spark, d):
-    return review.issues_of(frame(spark, "fx_issues"), [path for (path,) in TABLES["fx_paths"][1]])
+    return review.issues_of(frame(spark, d, "fx_issues"), [path for (path,) in TABLES["fx_paths"][1]])
 
 
 ISSUE_PREFIX = f"SELECT path, field, severity FROM {sql('fx_issues')} JOIN {sql('fx_paths')} ON field = path OR starts_with(field, path || '.')"
 
 
 def token_lookup(spark, d):
-    sites, asked = frame(spark, "fx_sites"), frame(spark, "fx_requests")
+    sites, asked = frame(spark, d, "fx_sites"), frame(spark, d, "fx_requests")
     kinds = [review.with_token(sites, asked, f"{k}_token").select("site_id", F.lit(k).alias("kind")) for k in ("review", "operator")]
     return kinds[0].unionByName(kinds[1])
 
@@ -339,7 +339,7 @@ TOKEN_LOOKUP = " UNION ALL ".join(f"SELECT r.site_id, '{k}' AS kind FROM {sql('f
 
 
 def serving_view(spark, d):
-    sites = frame(spark, "fx_sites")
+    sites = frame(spark, d, "fx_sites")
     done = spark.createDataFrame([("a", "A1"), ("b", "B9")], "site_id string, normalized string")
     after = review.complete(sites, done)
     dashboard, export = review.served(after), review.served(after, needs_completed=False)
@@ -352,14 +352,14 @@ SELECT site_id, status, CASE WHEN status = 'completed' AND normalized IS NOT NUL
 
 
 def intake_rows(spark, d):
-    return review.intake(frame(spark, "fx_sites").select("site_id"), "salt").withColumn("report", report.attachment(F.col("site_id"), "csv"))
+    return review.intake(frame(spark, d, "fx_sites").select("site_id"), "salt").withColumn("report", report.attachment(F.col("site_id"), "csv"))
 
 
 INTAKE_ROWS = f"SELECT site_id, 'pending_review' AS status, left(sha256('salt:review:' || site_id), 48) AS review_token, left(sha256('salt:operator:' || site_id), 48) AS operator_token, 'hotel-' || site_id || '-report.csv' AS report FROM {sql('fx_sites')}"
 
 
 def upload_entries(spark, d):
-    return files.upload_entries(frame(spark, "fx_uploads"), "salt")
+    return files.upload_entries(frame(spark, d, "fx_uploads"), "salt")
 
 
 _ID = "left(sha256('salt:' || site_id || ':' || name || ':' || created_at), 16)"
@@ -367,7 +367,7 @@ UPLOAD_ENTRIES = f"SELECT site_id, {_ID} AS id, {_ID} || '-' || left(regexp_repl
 
 
 def body_parse(spark, d):
-    return review.bodies(frame(spark, "fx_bodies"), "url string, demo boolean").select("id", "body.url", "body.demo")
+    return review.bodies(frame(spark, d, "fx_bodies"), "url string, demo boolean").select("id", "body.url", "body.demo")
 
 
 BODY_PARSE = "SELECT * FROM (VALUES (0::BIGINT, ' https://a.test ', false), (1, NULL, true), (2, NULL, NULL), (3, '5', NULL), (4, NULL, NULL)) t(id, url, demo)"
