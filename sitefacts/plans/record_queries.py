@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import copy
+import json
 
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from sitefacts.operators import assemble, gaps, report, review
 from sitefacts.plans import twin
 from sitefacts.plans.page_queries import site_pages
 from sitefacts.sources import demo
+from sitefacts.sources.tables import table
 
 DEMO = copy.deepcopy(demo.STRUCTURED)
 #: A reviewer's version of the demo record.
@@ -44,12 +46,40 @@ def _records(spark, rows):
     return demo.records(spark, rows)
 
 
-def _gap_inputs(spark):
-    return _records(spark, {"demo": DEMO, "plain": _PLAIN}), demo.confidences(spark, _SURE)
+#: Kinds of the fixed paths, and records that customers make: each value hangs on the customer's key and the path's number.
+_KINDS = [(no, p, "amenity" if p.startswith("amenities.") else "dining" if p == "dining" else "list" if p in ("services", "room_types", "images") else "text") for no, p in enumerate(vocab.PATHS)]
+_MADE_TEXT = "CASE (c_custkey + {no}) % 3 WHEN 0 THEN '' WHEN 1 THEN '  ' ELSE 'text ' || cast(c_custkey as string) END"
+_MADE_SURE = "CASE WHEN (c_custkey + {no}) % 7 <> 0 THEN ((c_custkey * ({no} + 3)) % 20) / 20.0 END"
+
+
+def _table_records(spark, d):
+    """A record and its confidences for every customer."""
+    at = lambda e, no: F.expr(e.format(no=no))
+    told = "struct('Dune' AS restaurant_name, '9' AS hours, array('x') AS menu_items)"
+    named, none = "struct('Dune' AS restaurant_name, ' ' AS hours, cast(array() AS array<string>) AS menu_items)", "struct(' ' AS restaurant_name, '9' AS hours, array('x') AS menu_items)"
+    dining = f"CASE (c_custkey + {{no}}) % 4 WHEN 0 THEN slice(array({none}), 1, 0) WHEN 1 THEN array({none}, {named}) WHEN 2 THEN array({named}, {told}) ELSE array({none}) END"
+    made = {"text": _MADE_TEXT, "amenity": "(c_custkey + {no}) % 2 = 0", "list": "array_repeat('x', cast((c_custkey + {no}) % 3 AS int))", "dining": dining}
+    data = F.from_json(F.lit(json.dumps(demo.STRUCTURED)), demo.RECORD)
+    for no, path, kind in _KINDS:
+        data = data.withField(path, at(made[kind], no))
+    site = F.concat(F.lit("k"), F.col("c_custkey").cast("string")).alias("site_id")
+    customers = table(spark, d, "customer")
+    sure = F.array(*(F.struct(F.lit(p).alias("path"), at(_MADE_SURE, no).cast("double").alias("confidence")) for no, p, _ in _KINDS))
+    return customers.select(site, data.alias("data")), customers.select(site, F.inline(sure)).where("confidence is not null")
+
+
+def _gap_inputs(spark, d):
+    records, sure = _table_records(spark, d)
+    return records.unionByName(_records(spark, {"demo": DEMO, "plain": _PLAIN})), sure.unionByName(demo.confidences(spark, _SURE))
+
+
+_MADE_FIELDS = f"""(SELECT 'k' || c_custkey AS site_id, no AS path_no, path, kind, CASE WHEN kind = 'text' THEN {_MADE_TEXT.format(no='no')} END AS text, CASE WHEN kind = 'amenity' THEN (c_custkey + no) % 2 = 0 END AS present,
+ CASE kind WHEN 'list' THEN (c_custkey + no) % 3 WHEN 'dining' THEN [0, 2, 2, 1][(c_custkey + no) % 4 + 1] END AS n, CASE WHEN kind = 'dining' THEN [0, 1, 2, 0][(c_custkey + no) % 4 + 1] ELSE 0 END AS named, kind = 'dining' AND (c_custkey + no) % 4 = 2 AS told, ({_MADE_SURE.format(no='no')})::DOUBLE AS c
+ FROM customer, (VALUES {', '.join(f"({no}, '{p}', '{k}')" for no, p, k in _KINDS)}) AS paths(no, path, kind))"""
 
 
 def demo_fields(spark, d):
-    return gaps.fields(demo.records(spark)).drop("dining")
+    return gaps.fields(demo.records(spark).unionByName(_table_records(spark, d)[0])).drop("dining")
 
 
 def _field_values(rows):
@@ -66,21 +96,21 @@ def _field_values(rows):
     return f"(VALUES {', '.join(out)}) AS f(site_id, path_no, path, kind, text, present, n, named, told, c)"
 
 
-DEMO_FIELDS = f"SELECT site_id, path_no::INT AS path_no, path, kind, text::VARCHAR AS text, present::BOOLEAN AS present, n::INT AS n FROM {_field_values({'demo': DEMO})}"
+DEMO_FIELDS = f"SELECT site_id, path_no::INT AS path_no, path, kind, text::VARCHAR AS text, present::BOOLEAN AS present, n::INT AS n FROM (SELECT * FROM {_field_values({'demo': DEMO})} UNION ALL SELECT * FROM {_MADE_FIELDS})"
 _GAPS = f"""(SELECT site_id, path_no::INT AS path_no, path, CASE kind WHEN 'amenity' THEN CASE WHEN present THEN CASE WHEN coalesce(c, 0) >= 0.5 THEN 'complete' ELSE 'uncertain' END WHEN coalesce(c, 0) >= 0.55 THEN 'complete' WHEN coalesce(c, 0) > 0.2 THEN 'uncertain' ELSE 'missing' END
  WHEN 'dining' THEN CASE WHEN told THEN 'complete' WHEN named > 0 THEN 'partial' ELSE 'missing' END WHEN 'list' THEN CASE WHEN n > 0 THEN CASE WHEN c < 0.5 THEN 'partial' ELSE 'complete' END WHEN c > 0.25 AND c < 0.55 THEN 'uncertain' ELSE 'missing' END
- ELSE CASE WHEN trim(text) = '' THEN 'missing' WHEN c < 0.45 THEN 'partial' WHEN c < 0.65 THEN 'uncertain' ELSE 'complete' END END AS status, CASE WHEN kind = 'amenity' AND NOT present AND c >= 0.55 THEN {twin.q(gaps.NO_KEYWORD)} END AS note FROM {_field_values({'demo': DEMO, 'plain': _PLAIN})})"""
+ ELSE CASE WHEN trim(text) = '' THEN 'missing' WHEN c < 0.45 THEN 'partial' WHEN c < 0.65 THEN 'uncertain' ELSE 'complete' END END AS status, CASE WHEN kind = 'amenity' AND NOT present AND c >= 0.55 THEN {twin.q(gaps.NO_KEYWORD)} END AS note FROM (SELECT * FROM {_field_values({'demo': DEMO, 'plain': _PLAIN})} UNION ALL SELECT * FROM {_MADE_FIELDS}))"""
 
 
 def gap_report(spark, d):
-    return gaps.report(*_gap_inputs(spark))
+    return gaps.report(*_gap_inputs(spark, d))
 
 
 GAP_REPORT = f"SELECT * FROM {_GAPS}"
 
 
 def gap_counts(spark, d):
-    return gaps.summary(gaps.report(*_gap_inputs(spark)))
+    return gaps.summary(gaps.report(*_gap_inputs(spark, d)))
 
 
 GAP_COUNTS = f"SELECT site_id, count(*) FILTER (status <> 'complete') AS n_open, coalesce(string_agg(path, ',' ORDER BY path_no) FILTER (status <> 'complete'), '') AS open_paths, {', '.join(f'''count(*) FILTER (status = '{s}') AS {s}''' for s in ('complete', 'partial', 'uncertain', 'missing'))} FROM {_GAPS} GROUP BY site_id"
