@@ -100,13 +100,14 @@ def judge(pages: DataFrame, rules=RULES, most: int = MOST_LABELLED, labels: Data
 
     def run(batches):
         def score(url):
-            found = grams(*url)
+            host, slash, path = url.partition("/")  # a host has none, and a path begins with one
+            found = grams(host, slash + path)
             return float(1 / (1 + np.exp(-np.clip(weights[found].sum() / np.sqrt(max(1, len(found))) + shift, -30, 30))))
 
         memo = Memo(score, 50_000)
         for batch in batches:
             hosts, paths, known = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("host", "path", "ruled"))
-            scores = [None if k is not None else memo[h, p] for h, p, k in zip(hosts, paths, known)]
+            scores = [None if k is not None else memo[h + p] for h, p, k in zip(hosts, paths, known)]
             verdicts = [k if k is not None else "block" if s >= 0.5 else "allow" for k, s in zip(known, scores)]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(batch.schema.get_field_index(c)) for c in ("page_id", "host", "path", "rule")), pa.array(verdicts, pa.string()), pa.array(scores, pa.float64())],
