@@ -5,38 +5,55 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitefacts.functions import checks, vocab
+from sitefacts.functions import checks, urls, vocab
 from sitefacts.functions.rx import blank, first_wins
-from sitefacts.operators import blocks, contacts, facts, images, jsonld, pages
+from sitefacts.operators import blocks, contacts, crawling, facts, images, jsonld, pages
 from sitefacts.sources.demo import RECORD
 from sitefacts.sources.shared import cut
 
 
-def extract(site_pages: DataFrame, as_of: str) -> tuple[DataFrame, DataFrame]:
-    """``site_id, data`` and ``site_id, path, confidence`` of ``site, page_seq, url, html``.
+def crawled(parsed: DataFrame) -> DataFrame:
+    """The pages that a crawl of each site would read, ``page_seq`` in its order; ``parsed`` pages of whole sites are given.
 
-    Of a site, its first ``MAX_PAGES`` pages count, as in a crawl. Page-level work is done page by page; a site's own row
-    then holds one text, that of these pages.
+    It begins at a site's first page, knows the first ``MAX_SITEMAP`` others as a site map would name them, and goes on best
+    first along the links, ``MAX_PAGES`` pages in all.
     """
-    html = F.col("html")
+    keyed = parsed.withColumn("k", urls.url_key(F.col("url")))
     place = F.row_number().over(Window.partitionBy("site").orderBy("page_seq"))
-    site_pages = cut(site_pages.withColumn("__place", place).where(F.col("__place") <= vocab.MAX_PAGES).drop("__place"))
-    parsed = cut(site_pages.select("site", "page_seq", "url", pages.visible_text(html).alias("text"), pages.title_of(html).alias("title"), pages.og(html).alias("og")))
+    mapped = keyed.groupBy("site", "k").agg(F.min("page_seq").alias("page_seq"), F.min_by("url", "page_seq").alias("url")).withColumn("n", place)
+    sites = mapped.where("n = 1").select("site", F.col("url").alias("start"))
+    seeds = pages.seeds(sites, mapped.where((F.col("n") > 1) & (F.col("n") <= vocab.MAX_SITEMAP + 1)).select("site", "url", "n"))
+    links = pages.parsed_links(parsed).withColumn("url", urls.url_key(F.col("url")))
+    order = crawling.best_first(seeds, links, mapped.select("site", F.col("k").alias("url_key")))
+    chosen = order.join(mapped.select("site", F.col("k").alias("url"), F.col("page_seq")), ["site", "url"]).select("site", "page_seq", "turn")
+    return parsed.join(chosen, ["site", "page_seq"]).withColumn("page_seq", F.col("turn")).drop("turn")
+
+
+def extract(site_pages: DataFrame, as_of: str, files: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """``site_id, data`` and ``site_id, path, confidence`` of ``site, page_seq, url, html``.
+
+    Pages are parsed once; of a site, those count that a crawl would read. Page-level work is done page by page; a site's own
+    row then holds one text, that of these pages. With ``files`` (``url, content``) the first images of each record are probed.
+    """
+    parsed = cut(crawled(cut(pages.parsed(_spread(site_pages)))))
     texts = parsed.select("site", "page_seq", "text")
-    titled = parsed.select("site", "page_seq", "title", "og.*")
-    found = jsonld.nodes(jsonld.scripts(site_pages))
+    titled = parsed.select("site", "page_seq", "title", "og_title", "og_site_name")
+    found = jsonld.nodes(parsed.select("site", "page_seq", F.posexplode("scripts").alias("script_no", "body")))
     hints = jsonld.hints(found)
     names = pages.site_names(titled, hints.select("site", "name"))
     text = pages.corpus(texts)
     phones = contacts.phones(texts).groupBy("site").agg(F.array_sort(F.collect_list(F.struct("n", "label", "value"))).alias("phones"))
     addresses = contacts.addresses(texts).groupBy("site").agg(F.array_sort(F.collect_list(F.struct("n", "label", "value"))).alias("addresses"))
-    photos = images.site_images(images.assets(images.tags(site_pages)))
+    photos = cut(images.site_images(images.assets(images.of_parsed(parsed))))
     shots = photos.groupBy("site").agg(F.array_sort(F.collect_list(F.struct("n", "url", "alt", "caption", "category"))).alias("photos"))
+    probes = _probes(photos, files)
     listed = parsed.groupBy("site").agg(F.array_sort(F.collect_list(F.struct("page_seq", "url"))).alias("listed"), F.collect_set("title").alias("titles"))
     rows = text.join(names, "site").join(listed, "site").join(hints.select("site", F.col("phone").alias("ld_phone"), F.col("email").alias("ld_email"), F.col("address").alias("ld_address")), "site", "left")
-    rows = rows.join(phones, "site", "left").join(addresses, "site", "left").join(contacts.best_email(texts).withColumnRenamed("confidence", "email_sure"), "site", "left").join(shots, "site", "left").join(jsonld.venues(found), "site", "left")
+    rows = rows.join(phones, "site", "left").join(addresses, "site", "left").join(contacts.best_email(texts).withColumnRenamed("confidence", "email_sure"), "site", "left").join(shots, "site", "left").join(jsonld.venues(found), "site", "left").join(probes, "site", "left")
     rows = rows.fillna("", ["ld_phone", "ld_email", "ld_address", "email"])
     t = F.col("text")
+    # The patterns over a site's text take long for few bytes, so rows are dealt to all tasks, not joined by their size.
+    rows = rows.repartition(int(site_pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), "site")
     rows = cut(rows.select(
         "*", facts.amenity_scores(t).alias("scores"), facts.services(t).alias("services"), facts.rooms(t).alias("rooms"), facts.check_in(t).alias("check_in"), facts.check_out(t).alias("check_out"), blocks.pet_policy(t).alias("pet"),
         blocks.policy_block(t, vocab.CANCEL_LABEL, vocab.CANCEL_SIGNAL).alias("cancellation"), blocks.policy_block(t, vocab.SMOKE_LABEL, vocab.SMOKE_SIGNAL).alias("smoking"), blocks.venues(t, F.col("titles")).alias("venues"),
@@ -64,7 +81,7 @@ def extract(site_pages: DataFrame, as_of: str) -> tuple[DataFrame, DataFrame]:
         dining.alias("dining"), F.col("services"),
         F.struct("check_in", "check_out", F.col("pet.value").alias("pet_policy"), F.col("cancellation.value").alias("cancellation_policy"), F.col("smoking.value").alias("smoking_policy")).alias("policies"),
         F.col("rooms").alias("room_types"), F.transform(shots_, lambda x: x["url"]).alias("images"),
-        F.struct(F.lit(as_of).alias("scrape_timestamp"), F.transform("listed", lambda x: x["url"]).alias("source_pages"), F.transform(shots_, lambda x: F.struct(x["url"], x["alt"], x["caption"], x["category"])).alias("image_details"), F.lit(None).alias("image_probe")).alias("metadata"),
+        F.struct(F.lit(as_of).alias("scrape_timestamp"), F.transform("listed", lambda x: x["url"]).alias("source_pages"), F.transform(shots_, lambda x: F.struct(x["url"], x["alt"], x["caption"], x["category"])).alias("image_details"), F.col("probes").alias("image_probe")).alias("metadata"),
     )
     sure = {
         "hotel_name": F.col("confidence"),
@@ -87,6 +104,22 @@ def extract(site_pages: DataFrame, as_of: str) -> tuple[DataFrame, DataFrame]:
     return records, rows.select(F.col("site").alias("site_id"), F.inline(pairs))
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """Rows of fewer splits than there are cores, dealt to all: reading markup takes long for few bytes."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
+def _probes(photos: DataFrame, files: DataFrame | None) -> DataFrame:
+    """``site, probes``: what the heads of each site's first images tell; a file that is not there is unreadable."""
+    if files is None:
+        return photos.limit(0).groupBy("site").agg(F.lit(None).alias("probes"))
+    asked = photos.where(F.col("n") <= images.PROBED).select("site", "n", "url").join(files.select("url", "content"), "url", "left")
+    found = F.struct("n", "url", "bytes", "format", "width", "height", "error")
+    told = images.probe(asked).groupBy("site").agg(F.array_sort(F.collect_list(found)).alias("x"))
+    return told.select("site", F.transform("x", lambda p: F.struct(*(p[c].alias(c) for c in ("url", "bytes", "format", "width", "height", "error")))).alias("probes"))
+
+
 def _schema():
     from pyspark.sql.types import StructType
 

@@ -65,14 +65,14 @@ def reach(seeds: DataFrame, links: DataFrame, pages: DataFrame, rules: DataFrame
 
 
 def _promising(rows: DataFrame, by: list[str], most: int) -> DataFrame:
-    """``by`` and ``out``: of rows ``url, score, seq`` the first of each url, and of those the best, as an array in turn.
+    """``by`` and ``out``: of rows ``url, score, seq, leads`` the first of each url, and of those the best, as an array in turn.
 
     A crawl of ``most`` pages can have seen ``most`` urls of a list and take as many more, so twice that many are enough.
     """
-    first = rows.groupBy(*by, "url").agg(F.min(F.struct("seq", "score")).alias("x")).select(*by, "url", "x.*")
+    first = rows.groupBy(*by, "url").agg(F.min(F.struct("seq", "score", "leads")).alias("x")).select(*by, "url", "x.*")
     best = Window.partitionBy(*by).orderBy(F.desc("score"), "seq")
     kept = first.withColumn("__place", F.row_number().over(best)).where(F.col("__place") <= 2 * most)
-    return kept.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("seq", "url", "score"))).alias("out"))
+    return kept.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("seq", "url", "score", "leads"))).alias("out"))
 
 
 def best_first(seeds: DataFrame, links: DataFrame, pages: DataFrame, most: int = vocab.MAX_PAGES, depth: int = vocab.MAX_DEPTH, ahead: int = 16) -> DataFrame:
@@ -82,21 +82,26 @@ def best_first(seeds: DataFrame, links: DataFrame, pages: DataFrame, most: int =
     score, first in first out among equals. It advances in rounds: a round replays each site's queue over the links of the
     pages known so far, up to the first page whose links are not, and asks for those of the ``ahead`` best pages in the
     queue; a join brings them. A site's rows in a round are pages it visits or asked for, each with a bounded list, so a site
-    of any size takes no more room than another; at least one page of each site is settled in a round.
+    of any size takes no more room than another; at least one page of each site is settled in a round. Pages without a link
+    to a page are never asked for.
     """
     import heapq
 
     import pandas as pd
 
-    known = cut(pages.select("site", F.col("url_key").alias("url")).distinct())
-    first = seeds.select("site", "url", F.col("score").cast("double").alias("score"), F.col("seq").cast("long").alias("seq"))
-    first = _promising(first.join(known, ["site", "url"], "left_semi"), ["site"], most)
+    known = pages.select("site", F.col("url_key").alias("url")).distinct()
     out_of = links.select("site", F.col("url").alias("src"), F.col("href").alias("url"), F.col("score").cast("double").alias("score"), F.col("pos").cast("long").alias("seq"))
-    out_of = cut(_promising(out_of.join(known, ["site", "url"], "left_semi"), ["site", "src"], most))
+    out_of = cut(out_of.where("src <> url").join(known, ["site", "url"], "left_semi"))
+    sources = out_of.select("site", F.col("src").alias("url"), F.lit(True).alias("leads")).distinct()
+    known = cut(known.join(sources, ["site", "url"], "left").fillna(False, ["leads"]))
+    first = seeds.select("site", "url", F.col("score").cast("double").alias("score"), F.col("seq").cast("long").alias("seq"))
+    first = _promising(first.join(known, ["site", "url"]), ["site"], most)
+    out_of = cut(_promising(out_of.join(known, ["site", "url"]), ["site", "src"], most))
     held = cut(first.select("site", F.lit("").alias("src"), "out"))
 
     def replay(group: pd.DataFrame) -> pd.DataFrame:
         lists = {src: [(x["url"], x["score"]) for x in out] for src, out in zip(group.src, group.out)}
+        leads = {x["url"] for out in group.out for x in out if x["leads"]}
         queue, turn, seen, rows = [], 0, set(), []
         site = group.site.iloc[0]
 
@@ -113,11 +118,11 @@ def best_first(seeds: DataFrame, links: DataFrame, pages: DataFrame, most: int =
             if url in seen:
                 heapq.heappop(queue)
                 continue
-            wanted = level < depth and len(rows) + 1 < most
+            wanted = level < depth and len(rows) + 1 < most and url in leads
             if wanted and url not in lists:
                 asked = {}
                 for _, _, other, below in sorted(queue):
-                    if other not in seen and other not in lists and below < depth:
+                    if other in leads and other not in seen and other not in lists and below < depth:
                         asked[other] = True
                         if len(asked) == ahead:
                             break
@@ -137,6 +142,6 @@ def best_first(seeds: DataFrame, links: DataFrame, pages: DataFrame, most: int =
         asked = replayed.where("turn < 0").select("site", F.col("url").alias("src"))
         if asked.isEmpty():
             return done
-        empty = F.expr("cast(array() as array<struct<seq:bigint,url:string,score:double>>)")
+        empty = F.expr("cast(array() as array<struct<seq:bigint,url:string,score:double,leads:boolean>>)")
         more = asked.join(out_of, ["site", "src"], "left").select("site", "src", F.coalesce("out", empty).alias("out"))
         held = cut(held.join(asked.select("site").distinct(), "site", "left_semi").unionByName(more))
