@@ -1,5 +1,7 @@
 """Plausibility of field values and their normal forms. Blank values are plausible."""
 
+# The short patterns inside the functions below, which must read values as they are read elsewhere.
+
 from __future__ import annotations
 
 from pyspark.sql import functions as F

@@ -45,6 +45,20 @@ def sitemap_urls(files: DataFrame, most: int = vocab.MAX_SITEMAP) -> DataFrame:
     return kept.withColumn("n", F.row_number().over(Window.partitionBy("site").orderBy("at"))).where(F.col("n") <= most).select("site", "url", "n")
 
 
+def site_map_files(fetched: DataFrame) -> DataFrame:
+    """``site, origin, file, xml`` of the site maps among fetched files ``site, origin, url, xml``, ``file`` in the order they are read.
+
+    A site's own map comes first, then the maps that its index names, in its order; other files are not read.
+    """
+    base = fetched.select("site", "origin", "url", "xml")
+    own = base.where(F.col("url") == F.concat("origin", F.lit("/sitemap.xml"))).select("site", "origin", F.lit("0").alias("file"), "xml")
+    index = base.where(F.col("url") == F.concat("origin", F.lit("/sitemap_index.xml")))
+    named = index.select("site", "origin", F.posexplode(F.regexp_extract_all("xml", F.lit(r"(?i)<loc>\s*([^<]+?)\s*</loc>"), F.lit(1))).alias("pos", "url"))
+    named = named.where(has(F.col("url"), r"sitemap.*\.xml$")).groupBy("site", "origin", "url").agg(F.min("pos").alias("pos"))
+    nested = named.join(base.select("site", "url", "xml"), ["site", "url"]).select("site", "origin", F.concat(F.lit("1-"), F.lpad(F.col("pos").cast("string"), 9, "0")).alias("file"), "xml")
+    return own.unionByName(nested)
+
+
 def reach(seeds: DataFrame, links: DataFrame, pages: DataFrame, rules: DataFrame, depth: int = vocab.MAX_DEPTH) -> DataFrame:
     """``site, url, depth``: pages reached level by level from the seeds, each at its least depth.
 

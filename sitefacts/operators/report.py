@@ -11,6 +11,7 @@ from sitefacts.functions import checks, vocab
 from sitefacts.functions.rx import blank, trim
 from sitefacts.operators import gaps as gaps_
 
+# The document's version, its columns, and the sentences and labels in the functions below.
 VERSION = "2.0"
 COLUMNS = ("section", "field_key", "label", "value", "status", "source", "scrape_gap_notes")
 

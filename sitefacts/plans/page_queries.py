@@ -277,9 +277,31 @@ PART_TOUR = f"""WITH RECURSIVE {_GRAPH}, o AS (SELECT site, key, next, arg_min(s
 SELECT site, (n - 1)::BIGINT AS turn, best.u AS part, best.d::BIGINT AS depth FROM q WHERE n > 0"""
 
 
+def nested_site_maps(spark, d):
+    """Seeds that site maps over parts give: a site's own map, then those of its index, 80 urls in all."""
+    part = table(spark, d, "part").select((F.col("p_size") % 10).cast("string").alias("s"), F.regexp_replace("p_brand", "#", "-").alias("brand"), "p_partkey")
+    origin = F.concat(F.lit("https://m"), F.col("s"), F.lit(".test"))
+    locs = lambda c, of: F.array_join(F.transform(F.array_sort(F.collect_list(c)), of), "")
+    page = lambda k: F.concat(F.lit("<url><loc> "), F.first("o"), F.lit("/p"), k.cast("string"), F.lit("</loc></url>"))
+    part = part.withColumn("o", origin)
+    nested = part.groupBy("s", "brand").agg(F.first("o").alias("origin"), locs("p_partkey", page).alias("xml")).select("s", "origin", F.concat("origin", F.lit("/maps/Sitemap-"), "brand", F.lit(".xml")).alias("url"), "xml")
+    named = lambda b: F.concat(F.lit("<loc>"), F.first("o"), F.lit("/maps/Sitemap-"), b, F.lit(".xml</loc><loc>"), F.first("o"), F.lit("/x.xml</loc>"))
+    index = part.select("s", "o", "brand").distinct().groupBy("s").agg(F.first("o").alias("origin"), locs("brand", named).alias("xml")).select("s", "origin", F.concat("origin", F.lit("/sitemap_index.xml")).alias("url"), "xml")
+    own = part.where("p_partkey % 5 = 0").groupBy("s").agg(F.first("o").alias("origin"), locs("p_partkey", page).alias("xml")).select("s", "origin", F.concat("origin", F.lit("/sitemap.xml")).alias("url"), "xml")
+    files = nested.unionByName(index).unionByName(own).withColumnRenamed("s", "site")
+    return crawling.sitemap_urls(crawling.site_map_files(files))
+
+
+NESTED_SITE_MAPS = """WITH p AS (SELECT (p_size % 10)::VARCHAR AS s, replace(p_brand, '#', '-') AS brand, p_partkey AS k, 'https://m' || (p_size % 10) || '.test' AS o FROM part),
+ b AS (SELECT s, brand, row_number() OVER (PARTITION BY s ORDER BY brand) AS f FROM (SELECT DISTINCT s, brand FROM p)),
+ u AS (SELECT s, o || '/p' || k AS url, 0 AS f, k FROM p WHERE k % 5 = 0 UNION ALL SELECT s, o || '/p' || k, f, k FROM p JOIN b USING (s, brand)),
+ x AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY s, url ORDER BY f, k) = 1)
+SELECT s AS site, url, row_number() OVER (PARTITION BY s ORDER BY f, k)::INT AS n FROM x QUALIFY n <= 80"""
+
+
 NAMES = (
     "site_primary_phone", "phone_candidates", "email_candidates", "visible_text_stats", "page_titles", "longest_title", "most_common_value", "url_forms", "page_links", "exact_texts", "exact_links", "thin_pages", "seed_union",
-    "site_verify_score", "verify_urls", "term_scores", "corpus_text", "first_rows_win", "csv_escape", "crawl_reach", "part_levels", "part_tour",
+    "site_verify_score", "verify_urls", "term_scores", "corpus_text", "first_rows_win", "csv_escape", "crawl_reach", "part_levels", "part_tour", "nested_site_maps",
 )
 QUERIES = {n: globals()[n] for n in NAMES}
 ORACLES = {n: globals()[n.upper()] for n in NAMES}
