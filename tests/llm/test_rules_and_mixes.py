@@ -28,7 +28,7 @@ def odd_rows():
 @pytest.mark.parametrize("name", sorted(set(queries.oracle_sql()) - {"op3_exact_top_k"}))
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "labels"):
+    for table in ("documents", "labels", "conversations"):
         con.execute(f"create view {table} as select * from read_parquet('{SF}/{table}.parquet')")
     frame = queries.queries()[name](spark, SF)
     result = con.execute(queries.oracle_sql()[name])
