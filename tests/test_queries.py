@@ -28,7 +28,7 @@ def rows_of(frame):
 def duck():
     con = duckdb.connect()
     con.execute("set timezone = 'UTC'")
-    for name in ("documents", "pages", "conversations", "events"):
+    for name in ("documents", "pages", "conversations", "events", "part", "customer", "lineitem"):
         con.execute(f"create view {name} as select * from read_parquet('{SF}/{name}.parquet')")
     return con
 
