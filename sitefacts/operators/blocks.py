@@ -37,42 +37,75 @@ def policy_text(lines):
     """The statement in lines of a policy section: questions, its label and stock questions go."""
     parts = F.flatten(F.transform(lines, lambda x: F.split(x, r"(?<=[?.!])\s+")))
     text = swap(F.array_join(without_questions(parts), " "), vocab.POLICY_PREFIX, "")
-    text = swap(swap(text, vocab.STOCK_QUESTIONS, ""), r"\s+", " ")
+    text = swap(without_stock_questions(text), r"\s+", " ")
     return trim(swap(text, r"\s+([.,;:])", "$1"))
 
 
+def without_stock_questions(text):
+    return let(text, lambda x: F.when(x.contains("?"), swap(x, vocab.STOCK_QUESTIONS, "")).otherwise(x))
+
+
+def policies(text):
+    """``pet, cancellation, smoking``: the block of each, over lines that are read once."""
+    return let(
+        lines_of(text),
+        lambda lines: F.struct(
+            _unless_advert(_policy_among(lines, vocab.PET_LABEL, vocab.PET_SIGNAL)).alias("pet"), _policy_among(lines, vocab.CANCEL_LABEL, vocab.CANCEL_SIGNAL).alias("cancellation"), _policy_among(lines, vocab.SMOKE_LABEL, vocab.SMOKE_SIGNAL).alias("smoking")
+        ),
+    )
+
+
 def policy_block(text, label: str, signal: str):
     """``value, confidence`` of the first block under a label line that says something about the matter; blank and 0 if none."""
-    stops = lambda x, chars: (chars >= vocab.POLICY_GROW) | (has(x, vocab.SECTION_STOP) & ~has(x, label)) | (F.length(x) < 3)
-    ends = lambda x, chars: x.rlike(r"[.!?]\z") & (chars > vocab.POLICY_SENTENCE)
+    return let(lines_of(text), lambda lines: _policy_among(lines, label, signal))
+
+
+def _policy_among(lines, label: str, signal: str):
+    stops = lambda x, chars: (chars >= vocab.POLICY_GROW) | (F.length(x) < 3) | (has(x, vocab.SECTION_STOP) & ~has(x, label))
+    ends = lambda x, chars: (chars > vocab.POLICY_SENTENCE) & x.rlike(r"[.!?]\z")
     most = vocab.POLICY_GROW // 4 + 2  # a line that is added has three characters or more, and one joins it
 
     def told(grown):
         return F.struct(F.left(policy_text(grown), F.lit(vocab.POLICY_CUT)).alias("value"), F.when(F.size(grown) > 1, 0.62).otherwise(0.48).alias("confidence"))
 
-    def among(lines):
-        return F.transform(_starts(lines, label), lambda start: let(_grown(lines, start, stops, ends, most), told))
+    none = F.struct(F.lit("").alias("value"), F.lit(0.0).alias("confidence"))
+    fits = lambda b: (F.length(b["value"]) >= vocab.POLICY_LEAST) & has(b["value"], signal)
+
+    def first(held, start):
+        # A block that fits has text; none is worked out after it.
+        return F.when(held["value"] != "", held).otherwise(let(let(_grown(lines, start, stops, ends, most), told), lambda b: F.when(fits(b), b).otherwise(held)))
 
-    found = F.filter(let(lines_of(text), among), lambda b: (F.length(b["value"]) >= vocab.POLICY_LEAST) & has(b["value"], signal))
-    return F.coalesce(F.get(found, F.lit(0)), F.struct(F.lit("").alias("value"), F.lit(0.0).alias("confidence")))
+    return F.coalesce(F.aggregate(_starts(lines, label), none, first), none)
 
 
 def pet_policy(text):
     """As ``policy_block``; a block that only advertises is none."""
+    return _unless_advert(policy_block(text, vocab.PET_LABEL, vocab.PET_SIGNAL))
+
+
+def _unless_advert(block):
 
     def told(found):
         only_advert = has(found["value"], vocab.PET_MARKETING) & ~has(found["value"], vocab.PET_DETAIL)
         return F.when(only_advert, F.struct(F.lit("").alias("value"), F.lit(0.0).alias("confidence"))).otherwise(found)
 
-    return let(policy_block(text, vocab.PET_LABEL, vocab.PET_SIGNAL), told)
+    return let(block, told)
 
 
 def policy_answer(kind: str, text):
     """A policy statement cleaned of questions and labels; blank if it does not speak of the matter."""
+    return let(answer_text(text), lambda x: told_of(kind, x))
+
+
+def told_of(kind: str, statement):
+    return F.when(has(statement, vocab.ANSWER_SIGNAL[kind]), statement).otherwise("")
+
+
+def answer_text(text):
+    """A policy statement without questions and labels."""
     parts = F.split(text, r"(?<=[?.!])\s+|\n+")
     text = swap(F.array_join(without_questions(parts), " "), vocab.ANSWER_PREFIX, "")
-    text = trim(swap(swap(text, vocab.STOCK_QUESTIONS, ""), r"\s+", " "))
-    return let(text, lambda x: F.when(has(x, vocab.ANSWER_SIGNAL[kind]), x).otherwise(""))
+    return trim(swap(without_stock_questions(text), r"\s+", " "))
 
 
 def dining_blocks(text):
@@ -89,13 +122,13 @@ def menu_line(line):
 
 
 def _dish(line):
-    return ~has(line, vocab.MENU_REJECT) & (has(line, vocab.FOOD) | has(line, vocab.MENU_SHAPE, fold=False)) & (F.length(line) >= 6)
+    return (F.length(line) >= 6) & (has(line, vocab.FOOD) | has(line, vocab.MENU_SHAPE, fold=False)) & ~has(line, vocab.MENU_REJECT)
 
 
 def menu_items(block):
     """Priced dishes: by line, then by name and price within lines; each once."""
     lines = F.transform(F.split(block, "\n|•"), menu_line)
-    own = F.filter(lines, lambda x: has(x, vocab.PRICE) & _dish(x) & ~(has(x, vocab.MENU_NOISE) & (F.length(x) < 24)))
+    own = F.filter(lines, lambda x: has(x, vocab.PRICE) & _dish(x) & ~((F.length(x) < 24) & has(x, vocab.MENU_NOISE)))
     own = F.transform(own, lambda x: swap(x, r"\s[-–—]\s*", " - "))
     names, prices = (all_of(block, vocab.MENU_INLINE, g, fold=False) for g in (1, 3))
     inline = F.filter(F.zip_with(names, prices, lambda n, p: menu_line(F.concat(n, F.lit(" - "), p))), _dish)

@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitefacts.sources.tables import table
+from sitefacts.sources.tables import spread, table
 
 _PET = "Pets\nPet policy: Are pets allowed? Dogs are welcome up to 40 pounds.\nA fee of $75 per stay applies to every room with an animal.\nParking\nValet parking is 20 USD."
 _DINING = "Blue Door Restaurant\nOpen daily from 6\nMo-Fr 7:00-10:30, 17:00-22:00 | Sa 08:00-11:00\nAvocado toast with egg $14\nHouse Burger - $18.50\nPet fee $20 breakfast\nRooms and suites\nEnd of page"
@@ -145,7 +145,7 @@ def frame(spark: SparkSession, d: str, name: str) -> DataFrame:
         return made
     source, expressions = FROM_TABLES[name]
     kinds = [c.split() for c in columns.split(", ")]
-    return made.unionByName(table(spark, d, source).select(*(F.expr(e).cast(k).alias(c) for e, (c, k) in zip(expressions, kinds))))
+    return made.unionByName(spread(table(spark, d, source)).select(*(F.expr(e).cast(k).alias(c) for e, (c, k) in zip(expressions, kinds))))
 
 
 def sql(name: str) -> str:
