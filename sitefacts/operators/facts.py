@@ -19,8 +19,11 @@ def term_score(hits, negated):
 def amenity_scores(text):
     """A map of amenity to confidence."""
     low = F.lower(text)
-    pairs = [x for name, (yes, no, _) in vocab.AMENITIES.items() for x in (F.lit(name), term_score(count_of(low, yes), has(low, no)))]
-    return F.create_map(*pairs)
+
+    def score(yes, no):
+        return let(count_of(low, yes), lambda hits: term_score(hits, has(low, no)))
+
+    return F.create_map(*(x for name, (yes, no, _) in vocab.AMENITIES.items() for x in (F.lit(name), score(yes, no))))
 
 
 def services(text):

@@ -26,6 +26,12 @@ def test_rows_of_one_row_group_are_dealt_to_many_tasks(spark, name, source):
     assert frame(spark, LARGER, name).rdd.getNumPartitions() >= 16
 
 
+def test_hits_are_counted_once(spark):
+    rows = spark.createDataFrame([("pool and pool",)], "text string").select(facts.amenity_scores(F.col("text")).alias("m"))
+    assert plan_of(rows).count("swimming") == 2  # once for hits, once for what speaks against them
+    assert rows.first().m["pool"] == 0.7
+
+
 def test_policy_lines_are_read_once(spark):
     rows = catalog.queries()["policy_blocks"](spark, "/root/testdata/sf0.001")
     assert plan_of(rows).count("split(text") <= 2  # given rows and invented ones
