@@ -48,10 +48,10 @@ def room_name(text):
 def is_room(text):
 
     def named(name):
-        said = has(name, vocab.SUITE_WORDS) & has(name, vocab.ROOM_NAME) & ~has(name, vocab.ROOM_NOISE) & ~has(name, vocab.ROOM_PROSE)
-        return said & ~has(name, r"\||\d{3,}|[.!?]") & (F.length(name) >= 4) & (F.length(name) <= 70) & (F.size(F.split(name, r"\s+")) <= 7)
+        said = has(name, vocab.ROOM_NAME) & has(name, vocab.SUITE_WORDS) & ~has(name, vocab.ROOM_NOISE) & ~has(name, vocab.ROOM_PROSE)
+        return (F.length(name) >= 4) & (F.length(name) <= 70) & ~has(name, r"\||\d{3,}|[.!?]") & said & (F.size(F.split(name, r"\s+")) <= 7)
 
-    return let(room_name(text), named) & ~has(text, r"^\s*[•*-]")
+    return ~has(text, r"^\s*[•*-]") & let(room_name(text), named)
 
 
 def rooms(text):
