@@ -35,10 +35,11 @@ def assets(found: DataFrame) -> DataFrame:
     return first.withColumn("turn", turn).where(F.col("turn") <= PER_PAGE).drop("turn")
 
 
-def site_images(found: DataFrame, most: int = DETAILS) -> DataFrame:
-    """``site, n, url, alt, caption, category``: photos of a site's pages in order, one for each address."""
+def site_images(found: DataFrame, most: int | None = DETAILS) -> DataFrame:
+    """``site, n, url, alt, caption, category``: photos of a site's pages in order, one for each address; all without ``most``."""
     rows = found.withColumn("key", urls.image_key(F.col("url"))).groupBy("site", "key").agg(F.min(F.struct("page_seq", "pos", "url", "alt", "caption", "category")).alias("x")).select("site", "x.*")
-    return rows.withColumn("n", F.row_number().over(Window.partitionBy("site").orderBy("page_seq", "pos"))).where(F.col("n") <= most).select("site", "n", "url", "alt", "caption", "category")
+    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("site").orderBy("page_seq", "pos"))).select("site", "n", "url", "alt", "caption", "category")
+    return rows if most is None else rows.where(F.col("n") <= most)
 
 
 def grouped(images: DataFrame, most: int = 12) -> DataFrame:

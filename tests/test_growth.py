@@ -17,6 +17,17 @@ def plan_of(rows):
     return rows._jdf.queryExecution().optimizedPlan().toString()
 
 
+@pytest.mark.parametrize("name", ["image_details", "image_groups"])
+def test_all_images_of_a_site_count(spark, name):
+    """Sites have 80 photos here, more than a record lists."""
+    con = duckdb.connect()
+    con.execute(f"create view part as select * from read_parquet('{LARGER}/part.parquet')")
+    names, found = rows_of(catalog.queries()[name](spark, LARGER))
+    result = con.execute(catalog.oracle_sql()[name])
+    at = [[c[0] for c in result.description].index(n) for n in names]
+    assert found == sorted(repr(tuple(r[k] for k in at)) for r in result.fetchall())
+
+
 @pytest.mark.parametrize("name, source", [("fx_texts", "customer"), ("fx_values", "part"), ("fx_targets", "customer"), ("fx_robots", "part")])
 def test_rows_of_one_row_group_are_dealt_to_many_tasks(spark, name, source):
     given = table(spark, LARGER, source)
