@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitefacts.functions import urls, vocab
-from sitefacts.functions.rx import has, trim
+from sitefacts.functions.rx import has, let, trim
 from sitefacts.sources.shared import cut
 
 
@@ -28,13 +28,19 @@ def robots_rules(lines: DataFrame) -> DataFrame:
 def allowed(targets: DataFrame, rules: DataFrame) -> DataFrame:
     """Appends ``allowed`` to ``site, url``: the longest rule on whole path segments decides, of equals the first; none allows.
 
-    Rules of a site travel as one array, so each url meets its own site's rules only.
+    A rule fits a path if it is the path, or one of its beginnings up to a slash, with or without that slash. Each of these is
+    looked up by a join, so the work grows with the urls and their segments, however many rules a site has.
     """
-    own = rules.groupBy("site").agg(F.collect_list(F.struct(F.length("path").alias("length"), (-F.col("seq")).alias("turn"), "allow", "path")).alias("rules"))
+    firm = rules.groupBy("site", F.col("path").alias("__rule")).agg(F.max(F.struct((-F.col("seq")).alias("turn"), "allow"))["allow"].alias("__allow"))
     at = F.coalesce(F.nullif(urls.part(F.col("url"), "PATH"), F.lit("")), F.lit("/"))
-    fits = lambda r: (at == r["path"]) | at.startswith(F.when(r["path"].endswith("/"), r["path"]).otherwise(F.concat(r["path"], F.lit("/"))))
-    verdict = F.coalesce(F.array_max(F.filter("rules", fits))["allow"], F.lit(True)) & urls.origin(F.col("url")).isNotNull()
-    return targets.join(own, "site", "left").withColumn("allowed", verdict).drop("rules")
+    asked = targets.withColumn("__at", at)
+    begun = lambda parts: F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
+    parts = F.split("__at", "/")
+    heads = F.when(F.size(parts) > 1, let(begun(parts), lambda b: F.concat(b, F.transform(b, lambda x: F.concat(x, F.lit("/")))))).otherwise(F.array().cast("array<string>"))
+    looked_up = asked.select("site", "__at").distinct().select("site", "__at", F.explode(F.array_distinct(F.array_append(heads, F.col("__at")))).alias("__rule"))
+    told = looked_up.join(firm, ["site", "__rule"]).groupBy("site", "__at").agg(F.max_by("__allow", F.length("__rule")).alias("__allow"))
+    verdict = F.coalesce("__allow", F.lit(True)) & urls.origin(F.col("url")).isNotNull()
+    return asked.join(told, ["site", "__at"], "left").select(*targets.columns, verdict.alias("allowed"))
 
 
 def sitemap_urls(files: DataFrame, most: int = vocab.MAX_SITEMAP) -> DataFrame:

@@ -52,3 +52,22 @@ def test_the_first_policy_block_that_fits_counts(spark):
     text = "Pets\nParking\nPets stay for a fee of $20\nParking\nDogs are not allowed in the restaurant"
     found = spark.createDataFrame([(text,), (None,), ("",)], "text string").select(blocks.policies(F.col("text")).alias("p")).collect()
     assert [(r.p.pet.value, r.p.pet.confidence) for r in found] == [("Pets stay for a fee of $20", 0.48), ("", 0.0), ("", 0.0)]
+
+
+def test_robots_rules_are_looked_up(spark):
+    """Against each rule of the site by itself; no row holds a site's rules."""
+    paths = ["/", "/a", "/a/", "/a/b", "/a//", "/ab", "/a/b/c/", "/a//b"]
+    rules = [("s", k, k % 3 == 0, p) for k, p in enumerate(paths)] + [("s", 9, True, "/a/b"), ("t", 0, False, "/a/b/")]
+    urls = [(s, f"https://h.test{p}") for s in ("s", "t", "u") for p in ("", "/", "/a", "/a/", "/a/b", "/a/b/", "/a/b/c", "/a/b/c/d", "/abc", "/a//b/c", "/ab?x=/a/b/c/", "//a")] + [("s", "no url"), ("s", "https://h.test/a"), (None, "https://h.test/a"), ("s", None)]
+
+    def expected(site, url):
+        if not url or "://" not in url:
+            return False
+        at = url.removeprefix("https://h.test").split("?")[0] or "/"
+        fits = [(len(p), -k, a) for s, k, a, p in rules if s == site and (at == p or at.startswith(p if p.endswith("/") else p + "/"))]
+        return max(fits)[2] if fits else True
+
+    found = crawling.allowed(spark.createDataFrame(urls, "site string, url string"), spark.createDataFrame(rules, "site string, seq int, allow boolean, path string"))
+    assert "collect_list" not in plan_of(found) and found.columns == ["site", "url", "allowed"]
+    key = lambda r: tuple(map(str, r))
+    assert sorted(((r.site, r.url, r.allowed) for r in found.collect()), key=key) == sorted(((s, u, expected(s, u)) for s, u in urls), key=key)
