@@ -10,7 +10,7 @@ from sitefacts.functions.rx import count_of, has
 from sitefacts.operators import contacts, crawling, facts, gaps, jsonld, pages
 from sitefacts.operators.review import first_submissions
 from sitefacts.plans import twin
-from sitefacts.sources.tables import table
+from sitefacts.sources.tables import spread, table
 
 _SITE = f"s AS (SELECT {twin.host('url')} AS site, page_id AS page_seq, url, coalesce(html, '') AS html FROM pages WHERE {twin.host('url')} <> '')"
 _TEXTS = f"{_SITE}, t AS (SELECT site, page_seq, {twin.visible('html')} AS text FROM s)"
@@ -187,8 +187,9 @@ VERIFY_URLS = f"WITH {_SITE}, b AS (SELECT site, url FROM s QUALIFY row_number()
 
 
 def term_scores(spark, d):
-    hits, against = count_of(F.col("text"), TERMS), has(F.col("text"), AGAINST)
-    return table(spark, d, "documents").select("doc_id", hits.cast("long").alias("hits"), facts.term_score(hits, against).alias("score"), (facts.term_score(hits, against) >= facts.PRESENT).alias("present"))
+    counted = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", count_of(F.col("text"), TERMS).cast("long").alias("hits"), has(F.col("text"), AGAINST).alias("against"))
+    scored = counted.select("doc_id", "hits", facts.term_score(F.col("hits"), F.col("against")).alias("score"))
+    return scored.select("doc_id", "hits", "score", (F.col("score") >= facts.PRESENT).alias("present"))
 
 
 TERM_SCORES = f"WITH c AS (SELECT doc_id, {twin.count('text', TERMS)} AS hits, {twin.has('text', AGAINST)} AS ne FROM documents) SELECT doc_id, hits, {twin.score('hits', 'ne')} AS score, {twin.score('hits', 'ne')} >= 0.55 AS present FROM c"

@@ -37,6 +37,10 @@ def test_rows_of_one_row_group_are_dealt_to_many_tasks(spark, name, source):
     assert frame(spark, LARGER, name).rdd.getNumPartitions() >= 16
 
 
+def test_terms_are_counted_in_many_tasks(spark):
+    assert catalog.queries()["term_scores"](spark, LARGER).rdd.getNumPartitions() >= 16
+
+
 def test_hits_are_counted_once(spark):
     rows = spark.createDataFrame([("pool and pool",)], "text string").select(facts.amenity_scores(F.col("text")).alias("m"))
     assert plan_of(rows).count("swimming") == 2  # once for hits, once for what speaks against them
